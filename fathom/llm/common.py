@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,23 +62,14 @@ def c(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
-
-class WordHash(dict):
-    """word -> 32-bit hash, remembered up to a bound."""
-
-    LIMIT = 400_000
+def lowered(text: str) -> str:
+    """Lower case, letter for letter: the few letters whose lower case is longer stay, so that places agree."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x.lower() if len(x.lower()) == 1 else x for x in text)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
 
-    def array(self, ws: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), np.uint32, len(ws))
+def words(text: str | None) -> list[str]:
+    return WORD.findall(lowered(text)) if text else []
 
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -99,7 +92,72 @@ def ngram_hash(w: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     n = min(n, len(w))
     x, m = w.astype(np.uint64), len(w) - n + 1
-    h = np.full(m, np.uint64(n) * _P, np.uint64)
+    h = np.full(m, mix64(np.array([n], np.uint64))[0], np.uint64)
     for j in range(n):
         h = (h ^ (h >> np.uint64(29))) * _P + x[j : j + m]
     return mix64(h)
+
+
+class Tokens(NamedTuple):
+    """The words of some texts, one after another."""
+
+    hashes: np.ndarray  # 64-bit, one for each word
+    first: np.ndarray  # of each text its first word; one more entry at the end
+    start: np.ndarray  # of each word its first character within its text
+    end: np.ndarray
+
+
+@lru_cache(maxsize=1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: whether it belongs to words, and a random number."""
+    word = np.fromiter((chr(i).isalnum() or i == 95 for i in range(0x110000)), bool, 0x110000)
+    return word, np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 0x110000, np.uint64)
+
+
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    odd = 0x9E3779B97F4A7C15
+    up, down = np.full(n, odd, np.uint64), np.full(n, pow(odd, -1, 2**64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def tokens(texts: list[str | None]) -> Tokens:
+    """The words of texts as hashes, without a Python object for each: a word's hash is the difference of two prefix
+    sums of its letters' numbers times powers of an odd number, brought back to power 0 and mixed."""
+    low = [lowered(t) if t else "" for t in texts]
+    codes = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = np.cumsum([0] + [len(t) + 1 for t in low])
+    letter, number = _letters()
+    edge = np.diff(np.concatenate([[False], letter[codes], [False]]).view(np.int8))
+    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = _powers(1 << max(16, len(codes).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(number[codes] * up[: len(codes)])])
+    h = mix64((sums[b] - sums[a]) * down[a])
+    first = np.searchsorted(a, starts)
+    offset = np.repeat(starts[:-1], np.diff(first))
+    return Tokens(h, first, a - offset, b - offset)
+
+
+def chunks(texts: list[str | None], size: int = 400_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about that many characters each; a longer text is a range of its own."""
+    begin = total = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if total and total + n > size:
+            yield begin, i
+            begin, total = i, 0
+        total += n + 1
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def ngrams(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, word): all runs of n words within one text; shorter texts give none."""
+    if len(t.hashes) < n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    h = ngram_hash(t.hashes, n)
+    text = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))[: len(h)]
+    at = np.arange(len(h))
+    ok = at + n <= t.first[text + 1]
+    return h[ok], text[ok], at[ok]

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fathom.llm import decontaminate as _decontaminate
 from fathom.llm import line_dedup as _line
+from fathom.llm import minhash as _minhash
 from fathom.llm import toxicity as _toxicity
 from fathom.llm.common import table
 
@@ -13,9 +16,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _decontaminate.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return spans.select("doc_id", "start_word", "end_word", F.get("items", F.lit(0)).alias("first_item"), F.size("items").cast("long").alias("n_items"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _minhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op10_line_dedup)}
-SQL: dict[str, str] = {"op10_line_dedup": _line.SQL}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_decontaminate, op7_minhash, op10_line_dedup)}
+SQL: dict[str, str] = {"op4_decontaminate": _decontaminate.SQL, "op10_line_dedup": _line.SQL}
