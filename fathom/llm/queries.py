@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathom.llm import decontaminate as _decontaminate
 from fathom.llm import line_dedup as _line
 from fathom.llm import minhash as _minhash
+from fathom.llm import suffix_dedup as _suffix
 from fathom.llm import toxicity as _toxicity
 from fathom.llm.common import table
 
@@ -25,9 +26,13 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _minhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffix.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_decontaminate, op7_minhash, op10_line_dedup)}
-SQL: dict[str, str] = {"op4_decontaminate": _decontaminate.SQL, "op10_line_dedup": _line.SQL}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_decontaminate, op7_minhash, op8_suffix_dedup, op10_line_dedup)}
+SQL: dict[str, str] = {"op4_decontaminate": _decontaminate.SQL, "op8_suffix_dedup": _suffix.SQL, "op10_line_dedup": _line.SQL}
