@@ -1,12 +1,65 @@
-"""A corpus pipeline of training-data operators: the stages follow once their operators stand."""
+"""A corpus pipeline: five training-data operators, one after another.
+
+Each stage takes what its predecessor kept, as written and read again, and its decisions take effect: toxic documents go,
+lines that many documents share go from the texts, one document of each group of near copies stays, passages of the
+benchmark are cut out, and the sources are mixed. All stages but the last return the columns of documents; the last adds
+``copies``, how often a document is to be seen, and leaves out those that aren't drawn.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fathom.llm import decontaminate, line_dedup, minhash, mixing, toxicity
+from fathom.llm.common import checkpoint_dir, table
+
+
+def _as_documents(edited: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, with n_chars as the text now is."""
+    columns = [F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if x == "n_chars" else F.col(f"`{x}`") for x in docs.columns]
+    return edited.select(*columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _as_documents(line_dedup.line_dedup(docs), docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_near_duplicates(docs)
+
+
+def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _as_documents(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")), docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_frequent_lines),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", cut_benchmark_passages),
+    ("mixing", mix_sources),
+]
 
-STAGES: list = []
+#: Trees, MinHash groups, spans within texts and random rounding aren't SQL; the tests hold each against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each one's result written to the shared folder and read again."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4()}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
