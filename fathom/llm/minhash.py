@@ -28,7 +28,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import c, chunks, cut, fresh, mix64, ngram_hash, ngrams, shuffle_partitions, tokens
+from fathom.llm.common import c, chunks, cut, fresh, mix64, ngram_hash, ngrams, tokens
 
 N, BANDS, ROWS, THRESHOLD, SEED = 3, 50, 5, 0.55, 20240229
 LOG_D = 22
@@ -70,32 +70,44 @@ class Sketcher:
         return h.view(np.int64)
 
 
-def sketches(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(d, keys, grams) for each row with an id and words."""
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(c(id_col).cast("long").alias("d"), c(text_col).cast("string").alias("t")).where("d is not null and t is not null")
+
+
+def band_keys(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """(d, keys) for each row with an id and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Sketcher(n, bands, rows)
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for begin, end in chunks(texts):
-                found = [(begin + i, g) for i, g in enumerate(s.grams(texts[begin:end])) if len(g)]
+                found = [(begin + i, s.signature(g)) for i, g in enumerate(s.grams(texts[begin:end])) if len(g)]
                 if found:
-                    keys = s.band_keys([s.signature(g) for _, g in found])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array([i for i, _ in found])),
-                            pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel())),
-                            pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(g) for _, g in found]).astype(np.int32)), pa.array(np.concatenate([g for _, g in found]).view(np.int32))),
-                        ],
-                        ["d", "keys", "grams"],
-                    )
+                    keys = s.band_keys([x for _, x in found])
+                    ends = np.arange(0, keys.size + 1, bands, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([i for i, _ in found])), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], ["d", "keys"])
+
+    return _own(docs, id_col, text_col).mapInArrow(run, "d long, keys array<long>")
+
+
+def gram_sets(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(d, grams) of the documents among ids: only candidates' sets are ever stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Sketcher(n, 1, 1)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for begin, end in chunks(texts):
+                grams = s.grams(texts[begin:end])
+                ends = np.cumsum([0] + [len(g) for g in grams]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams).view(np.int32)))], ["d", "grams"])
 
-    own = docs.select(c(id_col).cast("long").alias("d"), c(text_col).cast("string").alias("t")).where("d is not null and t is not null")
-    return own.mapInArrow(run, "d long, keys array<long>, grams array<int>")
+    return _own(docs, id_col, text_col).join(ids, "d", "left_semi").mapInArrow(run, "d long, grams array<int>")
 
 
 def verified(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
-    """Those (a, b) whose n-gram sets have a Jaccard similarity of at least threshold; grams is partitioned by d."""
+    """Those (a, b) whose n-gram sets have a Jaccard similarity of at least threshold."""
     left = pairs.join(grams.select(F.col("d").alias("a"), F.col("grams").alias("ga")), "a")
     both = left.join(grams.select(F.col("d").alias("b"), F.col("grams").alias("gb")), "b")
     # sizes alone refuse many pairs before any set is intersected
@@ -126,13 +138,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicate_groups(docs: DataFrame, n: int = N, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group_id, keep) of every document in a group of two or more; group_id is the smallest id, the one kept."""
-    spark = docs.sparkSession
-    sk = cut(sketches(docs, n, bands, rows, id_col, text_col).repartition(shuffle_partitions(spark), "d"))
-    members = sk.select("d", F.explode("keys").alias("key"))
+    members = cut(band_keys(docs, n, bands, rows, id_col, text_col)).select("d", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("d").alias("leader")).where("n > 1").select("key", "leader")
     m = cut(members.join(shared, "key"))
+    sets = cut(gram_sets(docs, m.select("d").distinct(), n, id_col, text_col))
     star = m.where("d <> leader")
-    first = cut(verified(star.groupBy("d").agg(F.min("leader").alias("a")).select("a", F.col("d").alias("b")), sk, threshold))
+    first = cut(verified(star.groupBy("d").agg(F.min("leader").alias("a")).select("a", F.col("d").alias("b")), sets, threshold))
 
     def differing(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         """Pairs whose ends aren't in one component yet."""
@@ -144,23 +155,25 @@ def near_duplicate_groups(docs: DataFrame, n: int = N, bands: int = BANDS, rows:
     least = star.groupBy("d").agg(F.min("leader").alias("least"))
     rest = star.select(F.col("leader").alias("a"), F.col("d").alias("b")).distinct()
     tried = least.select(F.col("least").alias("a"), F.col("d").alias("b"))
-    second = cut(verified(differing(rest, comp).join(tried, ["a", "b"], "left_anti"), sk, threshold))
-    edges = first.unionByName(second)
-    comp = cut(components(edges))
+    pairs = cut(differing(rest, comp).join(tried, ["a", "b"], "left_anti"))
+    edges = first
+    if not pairs.isEmpty():
+        edges = first.unionByName(cut(verified(pairs, sets, threshold)))
+        comp = components(edges)
     # buckets of several components: each member outside the largest meets all members of other components
     sides = m.join(comp, "d", "left").select("key", "d", "leader", F.coalesce("comp", "d").alias("comp"))
     sizes = sides.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "comp")).alias("top")).where("k > 1").select("key", F.col("top.comp").alias("top"))
     sides = sides.join(mixed, "key")
     minor = sides.where("comp <> top").select("key", F.col("d").alias("x"), F.col("comp").alias("cx"))
-    cross = (
+    cross = cut(
         minor.join(sides.select("key", F.col("d").alias("y"), F.col("comp").alias("cy"), "leader"), "key")
         .where("cx <> cy and x <> leader and y <> leader")  # pairs with the leader have been tried
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
-    third = cut(verified(cross, sk, threshold))
-    comp = components(edges.unionByName(third))
+    if not cross.isEmpty():
+        comp = components(edges.unionByName(cut(verified(cross, sets, threshold))))
     return comp.select(F.col("d").alias(id_col), F.col("comp").alias("group_id"), (F.col("d") == F.col("comp")).alias("keep"))
 
 
