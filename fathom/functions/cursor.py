@@ -1,7 +1,7 @@
 """Cursors of keyset pagination, as short strings.
 
 25 bytes, big-endian: a tag, eight bytes for the key, sixteen for the record's uuid; base64 for URLs without padding.
-Tag 0 is a relevance (single precision in the first four bytes), 1 an unsigned integer, 2 a double.
+Tag 0 is a relevance (single precision, behind four zero bytes), 1 an unsigned integer, 2 a double.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ class Cursor:
 
     def encode(self) -> str:
         if self.tag == RELEVANCE:
-            key = struct.pack(">f4x", self.value)
+            key = struct.pack(">4xf", self.value)
         elif self.tag == INTEGER:
             key = struct.pack(">Q", self.value)
         elif self.tag == DOUBLE:
@@ -54,7 +54,7 @@ class Cursor:
             raise InvalidCursor("no base64 text") from e
         if len(raw) != _SIZE:
             raise InvalidCursor(f"{len(raw)} bytes instead of {_SIZE}")
-        kind = {RELEVANCE: ">f", INTEGER: ">Q", DOUBLE: ">d"}.get(raw[0])
-        if kind is None:
-            raise InvalidCursor(f"no tag {raw[0]}")
+        kind = {RELEVANCE: ">4xf", INTEGER: ">Q", DOUBLE: ">d"}.get(raw[0])
+        if kind is None or raw[0] == RELEVANCE and any(raw[1:5]):
+            raise InvalidCursor("an unknown kind of key")
         return Cursor(raw[0], struct.unpack_from(kind, raw, 1)[0], uuid.UUID(bytes=raw[9:]))

@@ -1,0 +1,105 @@
+from __future__ import annotations
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fathom.operators.facets import aggregate, as_lists, filtered_stats, full_ranges, range_stats
+from fathom.operators.filters import range_filter
+from fathom.plans.features import FeatureSet, FeatureSpec, MissingFeature, UnknownFeature, UnsupportedFeatureType
+
+FEAT = FeatureSet.of(a="u64", b="i16?", c="f32", d="f64?")
+ROWS = [(1, None, 1.0, None), (2, 2, 2.0, None), (3, 3, 3.0, 3.0)]
+
+
+@pytest.fixture
+def feats(spark):
+    return spark.createDataFrame(ROWS, FEAT.schema)
+
+
+def counts(df, ranges):
+    return [(r["feature"], r["count"]) for r in range_stats(df, ranges).orderBy("feature", "bucket").collect()]
+
+
+def test_schema_and_validation(feats):
+    assert [f.dataType.simpleString() for f in FEAT.schema] == ["bigint", "smallint", "float", "double"]
+    FEAT.validate(feats.schema)
+    with pytest.raises(MissingFeature):
+        FEAT.validate(feats.drop("c").schema)
+    with pytest.raises(UnsupportedFeatureType):
+        FEAT.validate(T.StructType([*feats.drop("a").schema, T.StructField("a", T.StringType())]))
+    for kind in ("bool", "string", "decimal"):
+        with pytest.raises(UnsupportedFeatureType):
+            FeatureSpec("x", kind)
+    with pytest.raises(ValueError):
+        FeatureSet(())
+
+
+def test_bucket_counts(feats):
+    got = counts(feats, {"a": [(0, 1), (2, 4)], "b": [(0, 3)], "c": [(0, 0.1), (1, 3.1)], "d": [(42, 100)]})
+    assert got == [("a", 0), ("a", 2), ("b", 1), ("c", 0), ("c", 3), ("d", 0)]
+
+
+def test_overlapping_ranges_count_a_value_in_each(spark):
+    df = spark.createDataFrame([(v,) for v in (-4, -3, -2, -1)], "x smallint")
+    assert [n for _, n in counts(df, {"x": [(-10, 0), (0, 10), (-2, 4)]})] == [4, 0, 2]
+
+
+def test_min_max_and_empty_bucket(feats):
+    first, second = range_stats(feats, {"a": [(1, 3), (7, 9)]}).orderBy("bucket").collect()
+    assert (first["min"], first["max"], first["count"]) == (1, 2, 2)
+    assert (second["min"], second["max"], second["count"]) == (9, 7, 0)
+
+
+def test_full_range_is_half_open(spark):
+    spec = FeatureSet.of(x="u8", y="f32")
+    df = spark.createDataFrame([(0, 1.0), (254, math.nan), (255, math.inf)], "x smallint, y float")
+    got = as_lists(range_stats(df, full_ranges(spec)).collect())
+    assert got == {"x": [{"min": 0, "max": 254, "count": 2}], "y": [{"min": 1.0, "max": 1.0, "count": 1}]}
+
+
+def test_unknown_names_and_no_ranges(feats):
+    with pytest.raises(UnknownFeature):
+        range_stats(feats, {"zz": [(0, 1)]})
+    assert range_stats(feats, {}).count() == 0
+    assert range_stats(feats, {"a": []}).count() == 0
+
+
+def test_empty_table(spark, feats):
+    (r,) = range_stats(feats.where("false"), {"a": [(0, 5)]}).collect()
+    assert (r["min"], r["max"], r["count"]) == (5, 0, 0)
+
+
+def test_facets_over_matches_only(spark, feats):
+    keyed = feats.withColumn("doc_id", F.col("a"))
+    only = spark.createDataFrame([(2,), (3,), (9,)], "doc_id long")
+    assert range_stats(keyed, {"a": [(0, 9)]}).first()["count"] == 3
+    assert filtered_stats(keyed, only, {"a": [(0, 9)]}).first()["count"] == 2
+
+
+def test_aggregator_of_ones_own(feats):
+    class Mean:
+        def columns(self):
+            return [F.avg("a").alias("mean")]
+
+    assert aggregate(feats, Mean()).first()["mean"] == 2.0
+
+
+def test_filters(feats):
+    ids = lambda ranges: sorted(r["a"] for r in range_filter(feats, ranges, FEAT).collect())
+    assert ids({"a": (1, 3)}) == [1, 2]
+    assert ids({"b": (2, 4)}) == [2, 3]  # a missing value never matches
+    assert ids({"a": (0, 3), "c": (2, 9)}) == [2]
+    assert ids({"a": None}) == [1, 2, 3]
+    assert ids({"d": (3, 4)}) == [3]
+    with pytest.raises(UnknownFeature):
+        range_filter(feats, {"zz": (0, 1)}, FEAT)
+
+
+def test_filter_reaches_the_scan(spark, feats, tmp_path, capsys):
+    feats.write.parquet(str(tmp_path / "f"))
+    range_filter(spark.read.parquet(str(tmp_path / "f")), {"a": (1, 3)}).select("a").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(a,1)" in plan and "ReadSchema: struct<a:bigint>" in plan
