@@ -179,9 +179,9 @@ def near_duplicate_groups(docs: DataFrame, n: int = N, bands: int = BANDS, rows:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without all but one document of each group; of rows that share an id, one stays."""
-    groups = near_duplicate_groups(docs, id_col=id_col, **options).where("not keep").select(c(id_col).alias("gone_"))
-    rn = fresh(docs, "rn_")
-    kept = docs.join(groups, c(id_col) == F.col("gone_"), "left_anti")
+    rn, gone = fresh(docs, "rn_"), fresh(docs, "gone_")
+    groups = near_duplicate_groups(docs, id_col=id_col, **options).where("not keep").select(c(id_col).alias(gone))
+    kept = docs.join(groups, c(id_col) == c(gone), "left_anti")
     own = Window.partitionBy(c(id_col)).orderBy(*[c(x) for x in docs.columns if dict(docs.dtypes)[x] in ("bigint", "int", "string", "double")])
     once = kept.where(c(id_col).isNotNull()).withColumn(rn, F.row_number().over(own)).where(c(rn) == 1).drop(rn)
     return once.unionByName(kept.where(c(id_col).isNull()))

@@ -61,7 +61,7 @@ class Finding(NamedTuple):
 def window_entropies(s: str, window: int) -> Iterator[float]:
     """The Shannon entropy of each window, by incremental counts: H = log2(w) - sum(n * log2(n)) / w."""
     counts: dict[str, int] = {}
-    f = [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
+    f = [0.0] + [n * math.log2(n) for n in range(1, window + 2)]
     total = 0.0
     for i, x in enumerate(s):
         n = counts.get(x, 0)

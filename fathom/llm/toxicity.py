@@ -171,21 +171,20 @@ def fit_trees(x: np.ndarray, y: np.ndarray, n_trees: int = 60, depth: int = 3, r
     return model
 
 
-def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: a non-decreasing map from score to probability, as the ends of its steps."""
-    order = np.argsort(raw, kind="stable")
+def isotonic(raw: np.ndarray, y: np.ndarray, prior: float = 0.0, strength: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: a non-decreasing map from score to probability, as the ends of its steps. Each step is drawn
+    to the prior as if ``strength`` more documents had been seen, so that a step of one or two documents proves nothing."""
+    scores, group = np.unique(raw, return_inverse=True)
+    total, count = np.bincount(group, y), np.bincount(group)  # ties are one observation
     blocks: list[list[float]] = []  # sum, count, lowest score, highest score
-    for s, t in zip(raw[order], y[order]):
-        if blocks and blocks[-1][3] == s:  # ties share a block
-            blocks[-1][0] += t
-            blocks[-1][1] += 1
-        else:
-            blocks.append([float(t), 1.0, s, s])
+    for s, t, n in zip(scores.tolist(), total.tolist(), count.tolist()):
+        blocks.append([t, float(n), s, s])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             b = blocks.pop()
             blocks[-1] = [blocks[-1][0] + b[0], blocks[-1][1] + b[1], blocks[-1][2], b[3]]
-    x = [e for b in blocks for e in ((b[2], b[0] / b[1]), (b[3], b[0] / b[1]))]
-    return np.array([a for a, _ in x]), np.array([b for _, b in x])
+    x = np.array([e for b in blocks for e in b[2:]])
+    p = np.array([(b[0] + strength * prior) / (b[1] + strength) for b in blocks for _ in range(2)])
+    return x, np.maximum.accumulate(p)
 
 
 def units(text: str | None) -> set[str]:
@@ -244,10 +243,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not got:
         return Model(lexicon, Trees(), 0)
     x, y, fold = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float), np.array([r["fold"] for r in got])
-    trees = fit_trees(x[fold < 9], y[fold < 9]) if (fold < 9).any() else Trees()
+    trees = fit_trees(x[fold < 8], y[fold < 8]) if (fold < 8).any() else Trees()
     held = fold >= 8
     if len(trees.feature) and held.any() and y[held].min() < y[held].max():
-        trees.iso_x, trees.iso_y = isotonic(trees.raw(x[held]), y[held])
+        trees.iso_x, trees.iso_y = isotonic(trees.raw(x[held]), y[held], prior=n_toxic / (n_toxic + n_clean), strength=2.0)
     return Model(lexicon, trees, n_toxic + n_clean)
 
 

@@ -1,0 +1,104 @@
+from __future__ import annotations
+
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from fathom.llm import mixing
+from tests.llm.hostile import empty, hostile, rows
+
+DOCS = "doc_id long, source string, text string"
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_pivotal_keeps_sums_and_leaves_one_undecided(seed):
+    rng = np.random.default_rng(seed)
+    p = rng.random(int(rng.integers(0, 60)))
+    p[rng.random(len(p)) < 0.1] = 0
+    got = mixing.pivotal(p, np.random.default_rng(seed + 1))
+    between = got[(got > 0) & (got < 1)]
+    assert len(between) <= 1
+    assert got.sum() == pytest.approx(p.sum(), abs=1e-6)
+    assert ((got == 0) | (p > 0)).all()
+
+
+def test_pivotal_keeps_each_expectation():
+    p = np.array([0.1, 0.7, 0.45, 0.3, 0.9, 0.55])
+    rng = np.random.default_rng(1)
+    n = 20_000
+    total = sum((g := mixing.pivotal(p, rng)) + 0.0 * (g := g) for _ in range(n)) / n
+    assert np.abs(total - p).max() < 0.015
+
+
+def corpus(n, seed=1):
+    rng = random.Random(seed)
+    return [(i, "hot" if rng.random() < 0.6 else f"s{rng.randrange(4)}", "x" * rng.randint(1, 100)) for i in range(n)]
+
+
+@pytest.mark.parametrize("blocks", [20_000, 40, 7])
+def test_copies_add_up_to_each_source_s_share(spark, monkeypatch, blocks):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", blocks)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    docs = corpus(500)
+    weights = {"hot": 0.2, "s0": 0.5, "s1": 0.2, "s2": 0.1}
+    got = mixing.mix(spark.createDataFrame(docs, DOCS).repartition(7), weights=weights, target_size=20_000.0, max_copies=8).collect()
+    assert len(got) == 500
+    size, n, copies = defaultdict(int), defaultdict(int), defaultdict(int)
+    for i, s, t in docs:
+        size[s] += len(t)
+        n[s] += 1
+    for r in got:
+        copies[r["source"]] += r["copies"]
+        want = min(8, weights.get(r["source"], 0) * 20_000 / size[r["source"]])
+        assert r["copies"] in (int(want), int(want) + 1)
+    for s in n:
+        want = n[s] * min(8, weights.get(s, 0) * 20_000 / size[s])
+        assert abs(copies[s] - want) < 1 + 1e-6, s
+    assert copies["s3"] == 0
+
+
+def test_expectations_over_seeds(spark):
+    docs = spark.createDataFrame([(i, "a", "x" * 10) for i in range(12)], DOCS)
+    drawn = np.zeros(12)
+    for seed in range(25):
+        for r in mixing.mix(docs, target_size=50.0, seed=seed).collect():
+            drawn[r["doc_id"]] += r["copies"]
+    assert drawn.sum() == 25 * 5
+    assert drawn.min() >= 3 and drawn.max() <= 19
+
+
+def test_the_same_seed_draws_the_same_however_rows_lie(spark):
+    docs = spark.createDataFrame(corpus(300), DOCS)
+    assert rows(mixing.mix(docs.repartition(3))) == rows(mixing.mix(docs.repartition(8).orderBy("text")))
+    assert rows(mixing.mix(docs, seed=1)) != rows(mixing.mix(docs, seed=2))
+
+
+def test_temperature_lifts_small_sources(spark):
+    docs = corpus(2000)
+    copies, n = defaultdict(int), defaultdict(int)
+    for r in mixing.mix(spark.createDataFrame(docs, DOCS), temperature=0.5).collect():
+        copies[r["source"]] += r["copies"]
+        n[r["source"]] += 1
+    assert copies["hot"] < n["hot"] and all(copies[s] > n[s] for s in n if s != "hot")
+
+
+@pytest.mark.parametrize("clashing", [False, True])
+def test_hostile_documents(spark, clashing):
+    df = hostile(spark, clashing)
+    got = mixing.mix(df)
+    assert got.columns == ["doc_id", "source", "copies"] and got.count() == 11
+    assert [r["copies"] for r in got.where("source is null").collect()] == [1]  # a source of size 0
+    kept = mixing.mixed_documents(df, temperature=1.0)
+    assert kept.columns[:-1] == df.columns
+    assert kept.columns[-1].startswith("copies") and kept.agg({kept.columns[-1]: "sum"}).first()[0] == 11  # at temperature 1 each stands once
+    assert kept.count() == 10
+
+
+def test_empty_table_and_bad_weights(spark):
+    assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
+    assert {r["copies"] for r in mixing.mix(hostile(spark).where("source is not null"), weights={}).collect()} == {0}
+    for bad in (-1.0, float("nan"), None):
+        with pytest.raises(ValueError):
+            mixing.mix(hostile(spark), weights={"a": bad})

@@ -1,0 +1,155 @@
+from __future__ import annotations
+
+import gzip
+import io
+import json
+import random
+import struct
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from fathom.llm import warc
+from tests.llm.hostile import LONG
+
+PAGES = "page_id long, url string, html string"
+
+
+def record(text, uri="http://x/"):
+    body = b"HTTP/1.1 200 OK\r\n\r\n" + text.encode()
+    return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {uri}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+def zip64_package(entries):
+    """A package whose directory holds sizes and places in ZIP64 fields alone."""
+    out, central = io.BytesIO(), b""
+    for name, data, method in entries:
+        at = out.tell()
+        n = name.encode()
+        out.write(struct.pack("<4sHHHHHIIIHH", b"PK\x03\x04", 45, 0, method, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(n), 20) + n + struct.pack("<HHQQ", 1, 16, len(data), len(data)) + data)
+        extra = struct.pack("<HH", 0xABCD, 2) + b"zz" + struct.pack("<HHQQQ", 1, 24, len(data), len(data), at)
+        central += struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\x01\x02", 45, 45, 0, method, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(n), len(extra), 3, 0, 0, 0, 0xFFFFFFFF) + n + extra + b"ccc"
+    start = out.tell()
+    out.write(central)
+    end = out.tell()
+    out.write(struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, len(entries), len(entries), len(central), start))
+    out.write(struct.pack("<4sIQI", b"PK\x06\x07", 0, end, 1))
+    comment = b"with PK\x05\x06 inside, and more than twenty-two bytes of it"
+    out.write(struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, len(comment)) + comment)
+    return out.getvalue()
+
+
+def read(spark, *paths):
+    return warc.read_packages(spark, spark.createDataFrame([(str(p),) for p in paths], "path string"))
+
+
+def test_zip64_directory_index_and_unindexed_archives(spark, tmp_path):
+    a = [gzip.compress(record(f"page {i}", f"http://a/{i}")) for i in range(3)]
+    places = [(sum(map(len, a[:i])), len(x)) for i, x in enumerate(a)]
+    lines = [f"k {i} " + json.dumps({"filename": "a.warc.gz", "offset": str(o), "length": n}) for i, (o, n) in enumerate(places)]
+    index = gzip.compress("\n".join([lines[0], lines[2], lines[0]]).encode())
+    data = zip64_package(
+        [
+            ("archive/a.warc.gz", b"".join(a), 0),
+            ("archive/b.warc", record("plain one") + record("plain two"), 0),
+            ("archive/c.warc.gz", b"".join(map(gzip.compress, (record("gz one"), record("gz two")))), 0),
+            ("archive/d.warc", b"compressed, who knows how", 8),
+            ("pages/pages.jsonl", b"{}", 0),
+            ("indexes/index.cdxj.gz", index, 0),
+        ]
+    )
+    (tmp_path / "p.wacz").write_bytes(data)
+    with warc.opened(str(tmp_path / "p.wacz")) as f:
+        assert [(m.name, m.method) for m in warc.members(f)][3] == ("archive/d.warc", 8)
+    got = [(r["archive"], warc.http_body(bytes(r["body"])).decode()) for r in read(spark, tmp_path / "p.wacz").collect()]
+    want = [("archive/a.warc.gz", "page 0"), ("archive/a.warc.gz", "page 2")] + [(f"archive/{n}", f"{t} {k}") for n, t in (("b.warc", "plain"), ("c.warc.gz", "gz")) for k in ("one", "two")]
+    assert sorted(got) == sorted(want)
+
+
+def test_members_agree_with_the_standard_library(tmp_path):
+    rng = random.Random(1)
+    path = tmp_path / "z.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for i in range(20):
+            z.writestr(zipfile.ZipInfo(f"dir/é{i}"), rng.randbytes(rng.randint(0, 999)), zipfile.ZIP_STORED if i % 2 else zipfile.ZIP_DEFLATED)
+        z.comment = b"a comment"
+    with warc.opened(str(path)) as f, zipfile.ZipFile(path) as z:
+        for m, x in zip(warc.members(f), z.infolist(), strict=True):
+            assert (m.name, m.method, m.size, m.compressed, m.header) == (x.filename, x.compress_type, x.file_size, x.compress_size, x.header_offset)
+            if warc.stored(m):
+                assert warc.ranged(f, warc.data_start(f, m), m.size) == z.read(x)
+
+
+def test_only_ranges_are_read(tmp_path):
+    path = tmp_path / "p.wacz"
+    with path.open("wb") as f:
+        warc.write_package(f, [("x.warc.gz", [(i, f"http://x/{i}", random.Random(i).randbytes(20_000).hex()) for i in range(50)])])
+
+    class Counting:
+        def __init__(self, f):
+            self.f, self.n = f, 0
+
+        def seek(self, *a):
+            return self.f.seek(*a)
+
+        def tell(self):
+            return self.f.tell()
+
+        def read(self, n):
+            self.n += n
+            return self.f.read(n)
+
+    with warc.opened(str(path)) as f:
+        counted = Counting(f)
+        plan = list(warc.plan_package(counted))
+        assert len(plan) == 50
+        assert counted.n < 80_000 < path.stat().st_size / 10
+        name, at, length, single = plan[30]
+        got, _ = warc.parse_record(warc.inflate(warc.ranged(f, at, length)))
+        assert got.headers["x-page-id"] == "30" and single
+
+
+@pytest.mark.parametrize("clashing", [False, True])
+def test_round_trip_of_hostile_pages(spark, clashing):
+    data = [(1, "http://a/", "<p>x</p>"), (1, "http://a/", "<p>x</p>"), (None, "http://b/", ""), (2, None, None), (3, "", "\r\n\r\nWARC/1.0\r\n"), (4, "http://é/\n x ", "é\x00数\U0001f600"), (5, " ", "  "), (6, "u", LONG)]
+    df = spark.createDataFrame(data, PAGES)
+    if clashing:
+        df = df.withColumns({c: F.lit("clash") for c in ("i", "u", "h", "path", "body", "headers", "place")})
+    got = warc.round_trip(df)
+    assert got.columns == ["page_id", "url", "html"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(data, key=repr)
+
+
+def test_many_small_packages_and_ranges(spark, monkeypatch, tmp_path):
+    data = [(i, f"http://x/{i}", "<html>" * (i % 7)) for i in range(300)]
+    paths = warc.pack_pages(spark.createDataFrame(data, PAGES).repartition(5), str(tmp_path / "packs"))
+    assert paths.count() == 5
+    assert sorted(map(tuple, warc.pages_of(warc.read_packages(spark, paths)).collect())) == data
+
+
+def test_empty_tables_and_packages(spark, tmp_path):
+    assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
+    with zipfile.ZipFile(tmp_path / "e.wacz", "w"):
+        pass
+    assert read(spark, tmp_path / "e.wacz").count() == 0
+    assert warc.read_packages(spark, spark.createDataFrame([(None,)], "path string")).count() == 0
+
+
+def test_broken_files_are_named(spark, tmp_path):
+    (tmp_path / "no.wacz").write_bytes(b"not a package")
+    with pytest.raises(Exception, match="no.wacz"):
+        read(spark, tmp_path / "no.wacz").collect()
+    whole = io.BytesIO()
+    warc.write_package(whole, [("x.warc.gz", [(1, "u", "h")])])
+    (tmp_path / "cut.wacz").write_bytes(whole.getvalue()[:-30])
+    with pytest.raises(Exception, match="cut.wacz"):
+        read(spark, tmp_path / "cut.wacz").collect()
+
+
+def test_folded_headers_and_early_ends():
+    raw = b"WARC/1.0\r\nA: b\r\n c\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\nrest"
+    got, n = warc.parse_record(raw)
+    assert got.headers["a"] == "b c" and got.body == b"xyz" and raw[n:] == b"rest"
+    with pytest.raises(ValueError):
+        warc.parse_record(b"WARC/1.0\r\nContent-Length: 30\r\n\r\nxyz")
