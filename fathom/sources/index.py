@@ -40,15 +40,16 @@ class Index:
         totals = lengths.groupBy("field").agg(F.sum("dl").alias("total_length"))
         return Index(docs.withColumnRenamed(key, "doc_id"), postings, stats, totals, list(fields))
 
-    def write(self, path: str, overwrite: bool = False) -> Index:
-        """Stores the tables; a folder that is there already is an error unless it's to be replaced."""
+    def write(self, path: str, overwrite: bool = False, rows_per_file: int = 0) -> Index:
+        """Stores the tables; a folder that is there already is an error unless it's to be replaced. rows_per_file bounds
+        files (0: one for each task), as a commit interval would."""
         mode = "overwrite" if overwrite else "errorifexists"
         spark = self.docs.sparkSession
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "field", "doc_id").write.mode(mode).parquet(f"{path}/postings")
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", "field", "doc_id").write.mode(mode).option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
         stored.groupBy("field", "term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/term_stats")
         stored.groupBy("field").agg(F.sum("tf").alias("total_length")).coalesce(1).write.mode(mode).parquet(f"{path}/field_stats")
-        self.docs.write.mode(mode).parquet(f"{path}/docs")
+        self.docs.write.mode(mode).option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/docs")
         return Index.open(spark, path, self.fields)
 
     @staticmethod
