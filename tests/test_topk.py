@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from fathom.operators.topk import after, collect_page, counts, merge_pages, sort_key, top_feature, top_k, tuple_cursor
 
-S, I = F.col("score"), F.col("id")
+S = I = None
+
+
+@pytest.fixture(autouse=True, scope="module")
+def columns(spark):
+    global S, I
+    S, I = F.col("score"), F.col("id")
 
 
 def frame(spark, rows):
