@@ -3,46 +3,26 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.sources.shared import checkpoint_dir, cut, table
+
+__all__ = ["checkpoint_dir", "cut", "table"]
+
 #: A word: a run of letters, digits and underscores, in lower case.
 WORD = re.compile(r"\w+")
 #: The same for the JVM's and DuckDB's expression engines.
 WORD_SQL = r"[\p{L}\p{N}_]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; only a local session without one gets a temporary folder."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fathom-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads on from there: lineage ends, lost executors lose nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -122,34 +102,50 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+class Scan:
+    """Where the words of some texts are, and their hashes, without a Python object for each: a word's hash is the
+    difference of two prefix sums of its letters' numbers times powers of an odd number, brought back to power 0 and mixed.
+    Texts lie one after another, a line break behind each."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        low = [lowered(t) if t else "" for t in texts]
+        self.codes = codes("\n".join(low))
+        self.starts = np.cumsum([0] + [len(t) + 1 for t in low])
+        letter, number = _letters()
+        edge = np.diff(np.concatenate([[False], letter[self.codes], [False]]).view(np.int8))
+        self.a, self.b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        up, self.down = _powers(1 << max(16, len(self.codes).bit_length()))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(number[self.codes] * up[: len(self.codes)])])
+        self.first = np.searchsorted(self.a, self.starts)
+
+    def hashes(self, longest: int | None = None) -> np.ndarray:
+        """Of all words, or of their beginnings of at most so many letters."""
+        b = self.b if longest is None else np.minimum(self.b, self.a + longest)
+        return mix64((self.sums[b] - self.sums[self.a]) * self.down[self.a])
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def tokens(texts: list[str | None]) -> Tokens:
-    """The words of texts as hashes, without a Python object for each: a word's hash is the difference of two prefix
-    sums of its letters' numbers times powers of an odd number, brought back to power 0 and mixed."""
-    low = [lowered(t) if t else "" for t in texts]
-    codes = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    starts = np.cumsum([0] + [len(t) + 1 for t in low])
-    letter, number = _letters()
-    edge = np.diff(np.concatenate([[False], letter[codes], [False]]).view(np.int8))
-    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(1 << max(16, len(codes).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(number[codes] * up[: len(codes)])])
-    h = mix64((sums[b] - sums[a]) * down[a])
-    first = np.searchsorted(a, starts)
-    offset = np.repeat(starts[:-1], np.diff(first))
-    return Tokens(h, first, a - offset, b - offset)
-
-
-def chunks(texts: list[str | None], size: int = 400_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about that many characters each; a longer text is a range of its own."""
+    s = Scan(texts)
+    offset = np.repeat(s.starts[:-1], np.diff(s.first))
+    return Tokens(s.hashes(), s.first, s.a - offset, s.b - offset)
+
+
+def chunks(column: pa.Array, size: int = 400_000) -> Iterator[tuple[int, int, list[str | None]]]:
+    """A column of texts in ranges (begin, end, texts) of about that many bytes each, so that few texts are Python strings
+    at a time; a longer text is a range of its own."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     begin = total = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
+    for i, n in enumerate(lengths.tolist()):
         if total and total + n > size:
-            yield begin, i
+            yield begin, i, column.slice(begin, i - begin).to_pylist()
             begin, total = i, 0
         total += n + 1
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(lengths):
+        yield begin, len(lengths), column.slice(begin).to_pylist()
 
 
 def ngrams(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

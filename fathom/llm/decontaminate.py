@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,19 +175,19 @@ class Phrases:
         k = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[k] == hashes, self.symbol[k], 0)
 
-    def occurrences(self, texts: list[str | None]) -> list[list[tuple[int, int, list[int]]]]:
+    def occurrences(self, texts: pa.Array) -> list[list[tuple[int, int, list[int]]]]:
         """For each text the (first word, end word, items) of every occurrence of a phrase."""
-        out: list[list] = [[] for _ in texts]
+        out: list[list] = [[] for _ in range(len(texts))]
         if not self.groups:
             return out
-        parts, place = [], []
-        for begin, end in chunks(texts):
-            t = tokens(texts[begin:end])
+        parts, sizes = [], []
+        for _, _, chunk in chunks(texts):
+            t = tokens(chunk)
             # a separator after each text
             parts.append(np.insert(self.symbols(t.hashes), t.first[1:], 0))
-            place.append(t)
+            sizes.append(np.diff(t.first) + 1)
         s = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        ends = np.cumsum([n + 1 for t in place for n in np.diff(t.first)])
+        ends = np.cumsum(np.concatenate(sizes)) if sizes else np.zeros(0, np.int64)
         edge = np.diff(np.concatenate([[0], (s > 0).view(np.int8), [0]]))
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         long = last - first >= self.shortest
@@ -256,9 +257,10 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, least:
 
         def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
             for shard in shards(batches):
-                texts, rows = shard.column(1).to_pylist(), []
-                for d, text, found in zip(shard.column(0).to_pylist(), texts, phrases.occurrences(texts)):
+                texts, rows = shard.column(1).combine_chunks(), []
+                for k, found in enumerate(phrases.occurrences(texts)):
                     if found:
+                        d, text = shard.column(0)[k].as_py(), texts[k].as_py()
                         place = [m.span() for m in WORD.finditer(lowered(text))]
                         rows += [(d, a, b, place[a][0], place[b - 1][1], items) for a, b, items in merged(found)]
                 kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
@@ -286,15 +288,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int
 
         def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
             for shard in shards(batches):
-                texts = shard.column(at).to_pylist()
-                flags = shard.column(flag).to_pylist()
+                texts = shard.column(at).combine_chunks()
+                hit, cleaned = np.zeros(len(texts), bool), []
                 for k, found in enumerate(phrases.occurrences(texts)):
                     if found:
-                        place = [m.span() for m in WORD.finditer(lowered(texts[k]))]
-                        texts[k] = remove_spans(texts[k], [(place[a][0], place[b - 1][1]) for a, b, _ in merged(found)])
-                        flags[k] = True
-                out = shard.set_column(at, shard.schema.field(at), pa.array(texts, shard.schema.field(at).type))
-                out = out.set_column(out.schema.get_field_index(flag), shard.schema.field(flag), pa.array(flags, pa.bool_()))
+                        text = texts[k].as_py()
+                        place = [m.span() for m in WORD.finditer(lowered(text))]
+                        hit[k] = True
+                        cleaned.append(remove_spans(text, [(place[a][0], place[b - 1][1]) for a, b, _ in merged(found)]))
+                new = pc.replace_with_mask(texts, pa.array(hit), pa.array(cleaned, texts.type))
+                out = shard.set_column(at, shard.schema.field(at), new)
+                was = shard.column(flag).combine_chunks()
+                out = out.set_column(out.schema.get_field_index(flag), shard.schema.field(flag), pc.or_(was, pa.array(hit)))
                 yield from out.to_batches()
 
         flagged = flagged.mapInArrow(run, schema)

@@ -80,9 +80,9 @@ def band_keys(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Sketcher(n, bands, rows)
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for begin, end in chunks(texts):
-                found = [(begin + i, s.signature(g)) for i, g in enumerate(s.grams(texts[begin:end])) if len(g)]
+            ids = b.column(0)
+            for begin, _, texts in chunks(b.column(1)):
+                found = [(begin + i, s.signature(g)) for i, g in enumerate(s.grams(texts)) if len(g)]
                 if found:
                     keys = s.band_keys([x for _, x in found])
                     ends = np.arange(0, keys.size + 1, bands, dtype=np.int32)
@@ -97,9 +97,8 @@ def gram_sets(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Sketcher(n, 1, 1)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for begin, end in chunks(texts):
-                grams = s.grams(texts[begin:end])
+            for begin, end, texts in chunks(b.column(1)):
+                grams = s.grams(texts)
                 ends = np.cumsum([0] + [len(g) for g in grams]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams).view(np.int32)))], ["d", "grams"])
 

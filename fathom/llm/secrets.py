@@ -23,7 +23,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fathom.llm.common import c
+from fathom.llm.common import c, chunks
 
 
 class CharClass(NamedTuple):
@@ -123,10 +123,10 @@ def secret_scan(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allow
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(classes, allowed)
         for b in batches:
-            rows = []
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            rows, ids = [], b.column(0)
+            for i, text in ((begin + k, t) for begin, _, texts in chunks(b.column(1)) for k, t in enumerate(texts)):
                 for x in scanner.scan(text):
-                    digest = hashlib.sha256(text[x.start : x.end].encode("utf-8", "surrogatepass")).hexdigest()
+                    d, digest = ids[i].as_py(), hashlib.sha256(text[x.start : x.end].encode("utf-8", "surrogatepass")).hexdigest()
                     rows.append((d, x.start, x.end, x.kind, x.entropy, digest, x.suppressed))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.bool_())
             names = [id_col, "start_char", "end_char", "kind", "entropy", "sha256", "suppressed"]

@@ -209,9 +209,9 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            for begin, end in chunks(texts):
-                key, text, _, _ = anchors(tokens(texts[begin:end]), length, gram)
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for begin, end, texts in chunks(b.column(1)):
+                key, text, _, _ = anchors(tokens(texts), length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[begin:end][text])], ["key", "d"])
 
     seen = cut(own.mapInArrow(keys, "key long, d long"))
@@ -220,9 +220,9 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
 
     def snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            for begin, end in chunks(texts):
-                t = tokens(texts[begin:end])
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for begin, end, texts in chunks(b.column(1)):
+                t = tokens(texts)
                 key, text, first, last = anchors(t, length, gram)
                 parts = b.column(2).slice(begin, end - begin)
                 flat = parts.flatten().to_numpy(zero_copy_only=False)

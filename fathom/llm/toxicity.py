@@ -14,7 +14,6 @@ Defined results
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import c, cut, words
+from fathom.llm.common import Scan, _letters, c, chunks, codes, cut, tokens, words
 
 #: General insults and slurs of contempt; the learned lexicon adds what the labels show.
 INSULTS = frozenset(
@@ -41,63 +40,106 @@ FEATURES = (
     "insult_density", "insult_count", "learned_density", "learned_count", "learned_weight", "learned_max", "learned_distinct", "second_proximity",
     "second_density", "capital_rate", "shout_rate", "exclamation_rate", "punctuation_rate", "obfuscation_rate", "log_words", "window_hits",
 )
-_INSULT, _SECOND = 1000.0, 10000.0
-_SHOUT = re.compile(r"\b[A-Z]{3,}\b")
-_OBFUSCATED = re.compile(r"(?<=[^\W\d_])[0-9@$!*]+(?=[^\W\d_])")
 _PUNCT = np.array([(33 <= b <= 47) or (58 <= b <= 64) or (91 <= b <= 96) or (123 <= b <= 126) for b in range(256)])
-_UPPER, _LOWER = np.zeros(256, bool), np.zeros(256, bool)
-_UPPER[65:91], _LOWER[97:123] = True, True
-
-
-class Weights(dict):
-    """word -> learned weight, plus marks for insults and second-person pronouns."""
-
-    def __init__(self, lexicon: dict[str, float]) -> None:
-        super().__init__()
-        self.lexicon = lexicon
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= 400_000:
-            self.clear()
-        found = self.lexicon.get(word)
+_SIGN = np.array([chr(b) in "0123456789@$!*" for b in range(128)])
+#: How many words a window of window_hits has.
+WINDOW = 50
+
+
+class Lexicon:
+    """Insults, second-person pronouns and learned units, by the hashes of words and of their beginnings."""
+
+    def __init__(self, learned: dict[str, float]) -> None:
+        whole = {u: w for u, w in learned.items() if not u.endswith("*")}
+        self.insults, self.second = (np.sort(tokens([" ".join(sorted(x))]).hashes) for x in (INSULTS, SECOND))
+        self.words = self._table(whole)
+        self.beginnings = {n: self._table({u[:-1]: w for u, w in learned.items() if u.endswith("*") and len(u) == n + 1}) for n in PREFIXES}
+
+    @staticmethod
+    def _table(units: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        h = tokens([" ".join(units)]).hashes
+        order = np.argsort(h)
+        return h[order], np.array(list(units.values()))[order] if units else np.zeros(0)
+
+    @staticmethod
+    def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(table, h), max(0, len(table) - 1))
+        return at, (table[at] == h) if len(table) else np.zeros(len(h), bool)
+
+    def weights(self, s: Scan, h: np.ndarray) -> np.ndarray:
+        """Of each word its weight, or that of its longest known beginning, or 0."""
+        at, found = self._find(self.words[0], h)
+        out = np.zeros(len(h))
+        out[found] = self.words[1][at[found]]
         for n in reversed(PREFIXES):
-            if found is None and len(word) > n:
-                found = self.lexicon.get(word[:n] + "*")
-        v = self[word] = (found or 0.0) + _INSULT * (word in INSULTS) + _SECOND * (word in SECOND)
-        return v
+            rest = np.flatnonzero(~found & (s.b - s.a > n))
+            at, own = self._find(self.beginnings[n][0], s.hashes(n)[rest])
+            out[rest[own]] = self.beginnings[n][1][at[own]]
+            found[rest[own]] = True
+        return out
 
 
-def features(text: str | None, weights: Weights) -> np.ndarray:
-    out = np.zeros(len(FEATURES))
-    ws = words(text)
-    n = len(ws)
-    if not n:
+def feature_rows(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
+    """One row of FEATURES for each text, all texts at once."""
+    s, k = Scan(texts), len(texts)
+    out = np.zeros((k, len(FEATURES)))
+    if not len(s.a):
         return out
-    v = np.fromiter(map(weights.__getitem__, ws), np.float64, n)
-    second = v >= _SECOND
-    v -= _SECOND * second
-    insult = v >= _INSULT
-    v -= _INSULT * insult
-    hit = insult | (v > 0)
-    at = np.flatnonzero(hit)
-    counts = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
-    upper, lower, size = counts[_UPPER].sum(), counts[_LOWER].sum(), counts.sum()
-    near = 0.0
-    if len(at) and second.any():
-        you = np.flatnonzero(second)
-        k = np.searchsorted(you, at)
-        gap = np.minimum(np.abs(at - you[np.clip(k - 1, 0, len(you) - 1)]), np.abs(at - you[np.clip(k, 0, len(you) - 1)]))
-        near = 1.0 / (1.0 + gap.min())
-    span = np.searchsorted(at, at + 50) - np.arange(len(at)) if len(at) else np.zeros(1)
-    learned = np.flatnonzero(v > 0)
-    out[:] = (
-        insult.sum() / n, min(insult.sum(), 50), len(learned) / n, min(len(learned), 50), v.sum() / n, v.max(), min(len({ws[i] for i in learned[:500]}), 50), near,
-        second.sum() / n, upper / max(1, upper + lower), len(_SHOUT.findall(text)) / n, counts[33] / size, counts[_PUNCT].sum() / size,
-        len(_OBFUSCATED.findall(text)) / n, np.log1p(n), span.max(),
+    h, n, text = s.hashes(), np.diff(s.first), np.repeat(np.arange(k), np.diff(s.first))
+    per = lambda x, w=None: np.bincount(text[x], None if w is None else w[x], k)
+    best = lambda x, w: _best(text[x], w, k)
+    insult, second, v = lexicon._find(lexicon.insults, h)[1], lexicon._find(lexicon.second, h)[1], lexicon.weights(s, h)
+    learned, at, you = np.flatnonzero(v > 0), np.flatnonzero(insult | (v > 0)), np.flatnonzero(second)
+    near = np.zeros(k)
+    if len(at) and len(you):
+        j = np.searchsorted(you, at)
+        for other in (you[np.clip(j - 1, 0, len(you) - 1)], you[np.clip(j, 0, len(you) - 1)]):
+            same = text[other] == text[at]
+            near = np.maximum(near, best(at[same], 1.0 / (1.0 + np.abs(at[same] - other[same]))))
+    # words that a window beginning at each hit has, within the text
+    span = np.searchsorted(at, np.minimum(at + WINDOW, s.first[text[at] + 1])) - np.arange(len(at))
+    seen = np.unique(np.stack([text[learned].astype(np.uint64), h[learned]]), axis=1)[0].astype(np.int64) if len(learned) else learned
+    # letters as written; lowered texts have the same length
+    x = codes("\n".join(t or "" for t in texts))
+    upper, lower = (x >= 65) & (x <= 90), (x >= 97) & (x <= 122)
+    punct = (x < 256) & _PUNCT[np.minimum(x, 255)]
+    bounds = list(zip(s.starts[:-1].tolist(), s.starts[1:].tolist()))
+    sums = lambda y: np.array([np.count_nonzero(y[i:j]) for i, j in bounds])
+    shout, capitals = np.flatnonzero((s.b - s.a >= 3) & upper[s.a]), np.flatnonzero(upper)
+    shout = shout[np.searchsorted(capitals, s.b[shout]) - np.searchsorted(capitals, s.a[shout]) == (s.b - s.a)[shout]]
+    n_upper = sums(upper)
+    sign = (x < 128) & _SIGN[np.minimum(x, 127)]
+    edge = np.diff(np.concatenate([[False], sign, [False]]).view(np.int8))
+    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    letter = _letters()[0][x] & ~sign & (x != 95)
+    inner = (a > 0) & (b < len(x))
+    a, b = a[inner], b[inner]
+    hidden = a[letter[a - 1] & letter[b]]
+    words_, chars = np.maximum(n, 1), np.maximum(np.diff(s.starts) - 1, 1)
+    out[:] = np.stack(
+        [
+            per(insult.nonzero()[0]) / words_, np.minimum(per(insult.nonzero()[0]), 50), per(learned) / words_, np.minimum(per(learned), 50), per(learned, v) / words_,
+            best(learned, v[learned]), np.minimum(np.bincount(seen, minlength=k), 50), near, per(you) / words_, n_upper / np.maximum(n_upper + sums(lower), 1),
+            per(shout) / words_, sums(x == 33) / chars, sums(punct) / chars, np.bincount(np.searchsorted(s.starts, hidden, side="right") - 1, minlength=k) / words_,
+            np.log1p(n), best(at, span.astype(np.float64)),
+        ],
+        axis=1,
     )
+    out[n == 0] = 0
     return out
 
 
+def _best(text: np.ndarray, value: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros(k)
+    np.maximum.at(out, text, value)
+    return out
+
+
+def column_rows(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    parts = [feature_rows(texts, lexicon) for _, _, texts in chunks(column)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+
+
 @dataclass
 class Trees:
     """Boosted regression trees of fixed depth on the logistic loss, over quantile bins; with a calibration."""
@@ -232,12 +274,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n_toxic or not n_clean:
         return Model({}, Trees(base=20.0 if n_toxic else -20.0), n_toxic + n_clean)
     lexicon = learned_lexicon(train.where("fold < 5"), size.get((1, True), 0), size.get((0, True), 0))
-    weights = Weights(lexicon)
+    table_ = Lexicon(lexicon)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t, weights).tolist() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("toxic"), b.column("fold")], ["x", "toxic", "fold"])
+            x = column_rows(b.column("text"), table_)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column("toxic"), b.column("fold")], ["x", "toxic", "fold"])
 
     got = train.where("fold >= 5").mapInArrow(rows, "x array<double>, toxic int, fold long").orderBy("x", "toxic", "fold").collect()
     if not got:
@@ -245,18 +287,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     x, y, fold = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float), np.array([r["fold"] for r in got])
     trees = fit_trees(x[fold < 8], y[fold < 8]) if (fold < 8).any() else Trees()
     held = fold >= 8
+    if not held.any() or y[held].min() == y[held].max():
+        held = fold >= 5  # too few labels to hold any back
     if len(trees.feature) and held.any() and y[held].min() < y[held].max():
-        trees.iso_x, trees.iso_y = isotonic(trees.raw(x[held]), y[held], prior=n_toxic / (n_toxic + n_clean), strength=2.0)
+        trees.iso_x, trees.iso_y = isotonic(trees.raw(x[held]), y[held], prior=n_toxic / (n_toxic + n_clean), strength=4.0)
     return Model(lexicon, trees, n_toxic + n_clean)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(id, score, probability, toxic) for each row."""
-    weights, trees = Weights(model.lexicon), model.trees
+    lexicon, trees = Lexicon(model.lexicon), model.trees
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t, weights) for t in b.column(1).to_pylist()]).reshape(b.num_rows, len(FEATURES))
+            x = column_rows(b.column(1), lexicon)
             p = trees.probability(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(trees.raw(x)), pa.array(p), pa.array(p >= threshold)], [id_col, "score", "probability", "toxic"])
 
@@ -270,13 +314,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **fit_o
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **fit_options) -> DataFrame:
     """The documents that aren't toxic, with all their columns, in one more pass over the texts and no shuffle."""
     model = fit(docs, labels, **fit_options)
-    weights, trees = Weights(model.lexicon), model.trees
+    lexicon, trees = Lexicon(model.lexicon), model.trees
     schema = docs.schema
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t, weights) for t in b.column(at).to_pylist()]).reshape(b.num_rows, len(FEATURES))
+            x = column_rows(b.column(at), lexicon)
             yield b.filter(pa.array(trees.probability(x) < threshold))
 
     return docs.mapInArrow(keep, schema)
