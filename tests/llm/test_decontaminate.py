@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fathom.llm import decontaminate as D
@@ -32,7 +33,7 @@ def test_occurrences_against_brute_force(seed):
     v = [f"w{i}" for i in range(rng.choice([2, 6, 40]))]
     items = [(i, " ".join(rng.choice(v) for _ in range(rng.randint(0, 14)))) for i in range(6)]
     texts = [None, "", "..."] + [" ".join(rng.choice([*v, "other"]) for _ in range(rng.randint(0, 300))) for _ in range(8)] + [f"{items[3][1]}. {items[4][1]}"] * 2 + [" ".join(v[:1] * 400)]
-    assert [sorted(x) for x in D.Phrases(items, 6, 3).occurrences(texts)] == brute_force(items, texts, 6, 3)
+    assert [sorted(x) for x in D.Phrases(items, 6, 3).occurrences(pa.array(texts))] == brute_force(items, texts, 6, 3)
 
 
 def test_parts_of_the_index_against_brute_force():
