@@ -20,32 +20,41 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "score double, id long")
 
 
+def scored(spark, **scores):
+    """``i7=0.5``: the row 7 with score 0.5."""
+    return frame(spark, [(float(v), int(k[1:])) for k, v in scores.items()])
+
+
 def pairs(df):
     return [(r["score"], r["id"]) for r in df.orderBy("rank").collect()]
 
 
+def order(df):
+    return " ".join(str(i) for _, i in pairs(df))
+
+
 def test_fewer_rows_than_k(spark):
-    df = frame(spark, [(0.8, 1), (0.2, 3), (0.5, 4), (0.3, 5)])
-    assert pairs(top_k(df, S, I, 4, ascending=True)) == [(0.2, 3), (0.3, 5), (0.5, 4), (0.8, 1)]
-    assert pairs(top_k(df, S, I, 9)) == [(0.8, 1), (0.5, 4), (0.3, 5), (0.2, 3)]
+    df = scored(spark, i11=8, i13=2, i14=5, i15=3)
+    assert order(top_k(df, S, I, 4, ascending=True)) == "13 15 14 11"
+    assert order(top_k(df, S, I, 9)) == "11 14 15 13"
 
 
 def test_more_rows_than_k(spark):
-    df = frame(spark, [(0.8, 1), (0.2, 3), (0.3, 5), (0.9, 7), (-0.2, 9)])
-    assert pairs(top_k(df, S, I, 3, ascending=True)) == [(-0.2, 9), (0.2, 3), (0.3, 5)]
-    assert pairs(top_k(df, S, I, 3)) == [(0.9, 7), (0.8, 1), (0.3, 5)]
+    df = scored(spark, i11=8, i13=2, i15=3, i17=9, i19=-2)
+    assert order(top_k(df, S, I, 3, ascending=True)) == "19 13 15"
+    assert order(top_k(df, S, I, 3)) == "17 11 15"
 
 
 def test_ties_go_to_the_lowest_id_both_ways(spark):
-    df = frame(spark, [(0.1, 3), (0.1, 1), (0.1, 6), (0.5, 5), (0.5, 4), (0.1, 2)])
-    assert pairs(top_k(df, S, I, 5, ascending=True)) == [(0.1, 1), (0.1, 2), (0.1, 3), (0.1, 6), (0.5, 4)]
-    assert pairs(top_k(df, S, I, 5)) == [(0.5, 4), (0.5, 5), (0.1, 1), (0.1, 2), (0.1, 3)]
+    df = scored(spark, i13=1, i11=1, i16=1, i15=5, i14=5, i12=1)
+    assert order(top_k(df, S, I, 5, ascending=True)) == "11 12 13 16 14"
+    assert order(top_k(df, S, I, 5)) == "14 15 11 12 13"
 
 
 def test_tuple_cursor(spark):
-    df = frame(spark, [(0.6, 7), (0.7, 5), (0.5, 3), (0.5, 2), (0.5, 4), (0.0, 1), (0.5, 6)])
-    assert pairs(top_k(df, S, I, 9, condition=tuple_cursor(S, I, 0.5, 4, False))) == [(0.5, 6), (0.0, 1)]
-    assert pairs(top_k(df, S, I, 9, True, tuple_cursor(S, I, 0.5, 4, True))) == [(0.5, 2), (0.5, 3), (0.6, 7), (0.7, 5)]
+    df = scored(spark, i17=6, i15=7, i13=5, i12=5, i14=5, i11=0, i16=5)
+    assert order(top_k(df, S, I, 9, condition=tuple_cursor(S, I, 5, 14, False))) == "16 11"
+    assert order(top_k(df, S, I, 9, True, tuple_cursor(S, I, 5, 14, True))) == "12 13 17 15"
 
 
 def test_second_page_equals_the_rest_of_a_longer_one(spark):
