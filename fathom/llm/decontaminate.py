@@ -24,15 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import WORD, c, chunks, fresh, lowered, tokens, words
+from fathom.llm.common import WORD, c, chunks, fresh, lowered, tokens
 
 N, LEAST, SAMPLE = 8, 5, 8
 SHARD_BYTES = 48 << 20
-#: Test words that one pass takes to the tasks (about 100 MB there); a larger benchmark takes several passes.
-PASS_WORDS = 2_000_000
+#: Test words that one pass takes to the tasks (about 100 MB); a larger benchmark takes several passes.
+PASS_WORDS = 1_000_000
 
 
 class Bits:
@@ -149,31 +150,34 @@ class FMIndex:
 
 
 class Phrases:
-    """Test phrases by length, as symbols, with the smallest item and the number of items that hold each."""
+    """Test phrases by length, as rows of symbols, and of each the items that hold it. Arrays throughout, about 100 bytes a
+    test word, as they go to every task."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = N, least: int = LEAST) -> None:
-        self.vocabulary: dict[str, int] = {}
-        found: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        for item, text in items:
-            ws = words(text)
-            if len(ws) >= least:
-                s = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws]
+        t = tokens([text for _, text in items])
+        size = np.diff(t.first)
+        self.known = np.unique(t.hashes[np.repeat(size >= least, size)])
+        rows: dict[int, list[np.ndarray]] = defaultdict(list)
+        for k, (item, _) in enumerate(items):
+            if size[k] >= least:
+                s = self.symbols(t.hashes[t.first[k] : t.first[k + 1]])
                 m = min(n, len(s))
-                for i in range(len(s) - m + 1):
-                    found[tuple(s[i : i + m])].add(item)
-        by: dict[int, list] = defaultdict(list)
-        for p in sorted(found):
-            by[len(p)].append(p)
-        self.groups = [(np.array(ps, np.int64), [sorted(found[p]) for p in ps]) for _, ps in sorted(by.items())]
-        self.shortest = min(by, default=0)
-        h = tokens([" ".join(self.vocabulary)]).hashes
-        order = np.argsort(h)
-        self.known, self.symbol = h[order], order + 1
+                w = sliding_window_view(s, m)
+                rows[m].append(np.concatenate([w, np.full((len(w), 1), item)], axis=1))
+        #: (phrases, where each one's items begin, items)
+        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for m in sorted(rows):
+            own = np.concatenate(rows[m])
+            own = own[np.lexsort(own.T[::-1])]
+            own = own[np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)])]
+            new = np.concatenate([[True], (own[1:, :m] != own[:-1, :m]).any(axis=1)])
+            self.groups.append((own[new, :m], np.concatenate([np.flatnonzero(new), [len(own)]]), own[:, m]))
+        self.shortest = min(rows, default=0)
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        """Words as symbols, 0 for those that no item has."""
+        """Words as symbols from 1, 0 for those that no item has."""
         k = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[k] == hashes, self.symbol[k], 0)
+        return np.where(self.known[k] == hashes, k + 1, 0)
 
     def occurrences(self, texts: pa.Array) -> list[list[tuple[int, int, list[int]]]]:
         """For each text the (first word, end word, items) of every occurrence of a phrase."""
@@ -200,8 +204,8 @@ class Phrases:
         step[:] = 0
         step[last + 1] += 1  # the separator after a run stays with it
         kept = np.flatnonzero(keep - np.cumsum(step[:-1]))
-        index = FMIndex(s[kept], len(self.vocabulary) + 1)
-        for phrases, items in self.groups:
+        index = FMIndex(s[kept], len(self.known) + 1)
+        for phrases, begin, items in self.groups:
             lo, hi = index.search(phrases)
             which = np.repeat(np.arange(len(phrases)), hi - lo)
             rows = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
@@ -209,7 +213,7 @@ class Phrases:
             doc = np.searchsorted(ends, at, side="right")
             at = at - np.concatenate([[0], ends])[doc]
             for d, p, w in zip(doc.tolist(), at.tolist(), which.tolist()):
-                out[d].append((p, p + phrases.shape[1], items[w]))
+                out[d].append((p, p + phrases.shape[1], items[begin[w] : begin[w + 1]].tolist()))
         return out
 
 

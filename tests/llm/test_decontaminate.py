@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from fathom.llm import decontaminate as D
+from fathom.llm.common import words
 from tests.llm.hostile import LONG, empty, hostile, rows
 
 ITEMS = "item_id long, text string"
@@ -15,14 +16,14 @@ ITEMS = "item_id long, text string"
 def brute_force(items, texts, n, least):
     phrases = {}
     for i, t in items:
-        w = D.words(t)
+        w = words(t)
         if i is not None and len(w) >= least:
             m = min(n, len(w))
             for j in range(len(w) - m + 1):
                 phrases.setdefault(tuple(w[j : j + m]), set()).add(i)
     out = []
     for t in texts:
-        w = D.words(t)
+        w = words(t)
         out.append(sorted((j, j + len(p), sorted(ids)) for p, ids in phrases.items() for j in range(len(w) - len(p) + 1) if tuple(w[j : j + len(p)]) == p))
     return out
 
