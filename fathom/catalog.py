@@ -12,12 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathom.engine import Engine
 from fathom.functions.text import idf, term_frequencies
 from fathom.operators.facets import filtered_stats, full_ranges, range_stats
 from fathom.operators.filters import range_filter
 from fathom.operators.keywords import TopTerms, more_like_all, overlap, recall
 from fathom.operators.store import hydrate, last_wins
-from fathom.operators.topk import after, counts, sort_key, top_k
+from fathom.operators.topk import after, collect_page, counts, merge_pages, sort_key, top_k, tuple_cursor
 from fathom.plans.compiler import explained, search
 from fathom.plans.features import FeatureSet
 from fathom.plans.grammar import Occur
@@ -317,6 +318,30 @@ def sort_missing_as_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked_long(top_k(docs, F.col("quality"), F.col("doc_id"), 40))
 
 
+@query(_order_page("", "o_orderkey, o_totalprice", "orders", "o_totalprice desc, o_orderkey", 15, "o_orderstatus = 'O' and o_orderkey % 3 <> 0"))
+def conditional_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any predicate may decide what is collected."""
+    condition = (F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 3 != 0)
+    page = top_k(table(spark, sf_dir, "orders"), F.col("o_totalprice"), F.col("o_orderkey"), 15, condition=condition)
+    return _ranked_long(page.select("o_orderkey", "o_totalprice", "rank"))
+
+
+@query(_order_page("", "p_partkey, p_size", "part", "p_size desc, p_partkey", 20, "p_size < 25 or p_size = 25 and p_partkey > 40"))
+def tuple_cursor_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    key, id_ = F.col("p_size"), F.col("p_partkey")
+    return _ranked_long(top_k(parts, key, id_, 20, condition=tuple_cursor(key, id_, 25, 40, False)))
+
+
+@query(_order_page("", "o_orderkey, o_totalprice", "orders", "o_totalprice, o_orderkey", 12))
+def merged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of disjoint parts, merged."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    key, id_ = F.col("o_totalprice"), F.col("o_orderkey")
+    parts = [collect_page(orders.where(F.pmod("o_orderkey", F.lit(3)) == i), key, id_, 12, ascending=True) for i in range(3)]
+    return _ranked_long(merge_pages(parts, key, id_, ascending=True).items)
+
+
 # terms and keywords ----------------------------------------------------------------------------------------------
 
 
@@ -417,6 +442,28 @@ def hydrate_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hydrate(page, table(spark, sf_dir, "documents")).select("rank", "doc_id", "score", "lang", "source", "n_chars")
 
 
+_ENGINE = (
+    "select doc_id, sum(s) as score from (select doc_id, term, max(s) + (sum(s) - max(s)) * 0.1 as s from"
+    " (select doc_id, term, s * case field when 'head' then 1.15 else 0.7 end as s from sc where term in ('that', 'with')) group by doc_id, term)"
+    " join labels using (doc_id) where quality >= 1 and quality < 2 group by doc_id"
+)
+
+
+@query(
+    _INDEX
+    + f"select doc_id, row_number() over (order by k desc, doc_id) - 7 as rank, k::double as sort_key, total from (select doc_id, round(score, 6)::float as k, count(*) over () as total from ({_ENGINE}))"
+    " qualify rank >= 1 and rank <= 7"
+)
+def engine_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, a filter and a cursor through the engine."""
+    index = index_of(spark, sf_dir)
+    docs = index.docs.withColumn("uuid", F.regexp_replace(F.md5(F.col("doc_id").cast("string")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"))
+    engine = Engine(Index(docs, index.postings, index.term_stats, index.field_stats, index.fields), LABELS, boosts={"head": 1.15, "body": 0.7})
+    request = {"fulltext": "that with", "filter": {"quality": (1, 2)}, "num_items": 7}
+    second = engine.search({**request, "after": engine.search(request).next})
+    return _ranked_long(second.items.select("doc_id", "rank", "sort_key")).withColumn("total", F.lit(second.total_found).cast("long"))
+
+
 @query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey = 33")
 def lookup_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_orderkey = 33").select("o_orderkey", "o_custkey", "o_totalprice")
