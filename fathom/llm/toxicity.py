@@ -14,7 +14,6 @@ Defined results
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import Scan, _letters, c, chunks, codes, cut, tokens, words
+from fathom.llm.common import Scan, _letters, c, chunks, codes, cut, tokens
 
 #: General insults and slurs of contempt; the learned lexicon adds what the labels show.
 INSULTS = frozenset(
@@ -49,17 +48,16 @@ WINDOW = 50
 class Lexicon:
     """Insults, second-person pronouns and learned units, by the hashes of words and of their beginnings."""
 
-    def __init__(self, learned: dict[str, float]) -> None:
-        whole = {u: w for u, w in learned.items() if not u.endswith("*")}
+    def __init__(self, learned: dict[tuple[int, int], float]) -> None:
+        """learned: weights by (number of letters, 0 for a whole word; hash)"""
         self.insults, self.second = (np.sort(tokens([" ".join(sorted(x))]).hashes) for x in (INSULTS, SECOND))
-        self.words = self._table(whole)
-        self.beginnings = {n: self._table({u[:-1]: w for u, w in learned.items() if u.endswith("*") and len(u) == n + 1}) for n in PREFIXES}
+        self.words = self._table(learned, 0)
+        self.beginnings = {n: self._table(learned, n) for n in PREFIXES}
 
     @staticmethod
-    def _table(units: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-        h = tokens([" ".join(units)]).hashes
-        order = np.argsort(h)
-        return h[order], np.array(list(units.values()))[order] if units else np.zeros(0)
+    def _table(learned: dict[tuple[int, int], float], n: int) -> tuple[np.ndarray, np.ndarray]:
+        own = sorted((h & 0xFFFFFFFFFFFFFFFF, w) for (k, h), w in learned.items() if k == n)
+        return np.array([h for h, _ in own], np.uint64), np.array([w for _, w in own], np.float64)
 
     @staticmethod
     def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,34 +227,41 @@ def isotonic(raw: np.ndarray, y: np.ndarray, prior: float = 0.0, strength: float
     return x, np.maximum.accumulate(p)
 
 
-def units(text: str | None) -> set[str]:
-    """Words, and their beginnings marked with a star."""
-    ws = set(words(text))
-    return ws | {w[:n] + "*" for w in ws for n in PREFIXES if len(w) > n}
+def units(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(letters, text, hash) of the distinct words of each text, and of their beginnings."""
+    s = Scan(texts)
+    text = np.repeat(np.arange(len(texts)), np.diff(s.first))
+    for n in (0, *PREFIXES):
+        long = np.flatnonzero(s.b - s.a > n)
+        t, h = text[long], (s.hashes(n) if n else s.hashes())[long]
+        order = np.lexsort((h, t))
+        t, h = t[order], h[order]
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
+        yield n, t[new], h[new]
 
 
 def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n: tuple[Counter, Counter] = (Counter(), Counter())
     for b in batches:
-        for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-            n[toxic].update(units(text))
-    keys = list(n[1])  # what no toxic document has can't enter
-    yield pa.RecordBatch.from_pydict({"unit": pa.array(keys, pa.string()), "a": pa.array([n[1][k] for k in keys], pa.int64()), "b": pa.array([n[0][k] for k in keys], pa.int64())})
-    rest = [k for k in n[0] if k not in n[1]]
-    yield pa.RecordBatch.from_pydict({"unit": pa.array(rest, pa.string()), "a": pa.array([0] * len(rest), pa.int64()), "b": pa.array([n[0][k] for k in rest], pa.int64())})
+        toxic = b.column("toxic").to_numpy(zero_copy_only=False)
+        for begin, end, texts in chunks(b.column("text")):
+            for n, t, h in units(texts):
+                keys, at = np.unique(h, return_inverse=True)
+                a = np.bincount(at, toxic[begin:end][t], len(keys)).astype(np.int64)
+                both = np.bincount(at, minlength=len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64)), pa.array(a), pa.array(both - a)], ["n", "h", "a", "b"])
 
 
-def learned_lexicon(train: DataFrame, n_toxic: int, n_clean: int, least: int = 3, ratio: float = 12.0, size: int = 4000) -> dict[str, float]:
+def learned_lexicon(train: DataFrame, n_toxic: int, n_clean: int, least: int = 3, ratio: float = 12.0, size: int = 4000) -> dict[tuple[int, int], float]:
     """Units whose document frequency among toxic documents is ``ratio`` times that among the others (log odds)."""
-    n = train.select("text", "toxic").mapInArrow(_count_units, "unit string, a long, b long").groupBy("unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    n = train.select("text", "toxic").mapInArrow(_count_units, "n int, h long, a long, b long").groupBy("n", "h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     weight = F.log((F.col("a") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("b") + 0.5) / (n_clean + 1.0))
-    rows = n.where(F.col("a") >= least).select("unit", weight.alias("w")).where(F.col("w") >= float(np.log(ratio))).orderBy(F.desc("w"), "unit").limit(size).collect()
-    return {r["unit"]: float(r["w"]) for r in rows}
+    rows = n.where(F.col("a") >= least).select("n", "h", weight.alias("w")).where(F.col("w") >= float(np.log(ratio))).orderBy(F.desc("w"), "n", "h").limit(size).collect()
+    return {(r["n"], r["h"]): float(r["w"]) for r in rows}
 
 
 @dataclass
 class Model:
-    lexicon: dict[str, float]
+    lexicon: dict[tuple[int, int], float]
     trees: Trees
     n_train: int = 0
 

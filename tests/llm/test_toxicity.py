@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fathom.llm import toxicity
+from fathom.llm.common import tokens
 from tests.llm.hostile import empty, hostile, rows
 
 DATA = "/root/testdata/sf0.1"
@@ -80,14 +82,43 @@ def test_trees_fit_an_interaction():
     assert ((model.raw(x[1500:]) > 0) == (y[1500:] > 0)).mean() > 0.95
 
 
-def test_features():
-    w = toxicity.Weights({"vile": 2.0, "vil*": 1.0})
-    f = dict(zip(toxicity.FEATURES, toxicity.features("YOU are an idiot! vile vilest st0pid.", w)))
-    assert f["insult_count"] == 1 and f["learned_count"] == 1  # "vil*" is shorter than any kept beginning
-    assert f["second_proximity"] == pytest.approx(1 / 4)
-    assert f["shout_rate"] == pytest.approx(1 / 7) and f["obfuscation_rate"] == pytest.approx(1 / 7)
-    assert f["window_hits"] == 2 and f["exclamation_rate"] > 0
-    assert not toxicity.features(None, w).any() and not toxicity.features("...", w).any()
+def by_hand(text, learned):
+    """The features of one text, word by word."""
+    text = text or ""
+    ws = re.findall(r"\w+", text.lower())
+    if not ws:
+        return [0.0] * len(toxicity.FEATURES)
+    n, chars = len(ws), len(text)
+
+    def weight(w):
+        if w in learned:
+            return learned[w]
+        return next((learned[w[:k] + "*"] for k in (7, 6, 5, 4) if len(w) > k and w[:k] + "*" in learned), 0.0)
+
+    v = [weight(w) for w in ws]
+    insult, second = [w in toxicity.INSULTS for w in ws], [w in toxicity.SECOND for w in ws]
+    at = [i for i in range(n) if insult[i] or v[i] > 0]
+    you = [i for i in range(n) if second[i]]
+    upper, lower = len(re.findall("[A-Z]", text)), len(re.findall("[a-z]", text))
+    return [
+        sum(insult) / n, min(sum(insult), 50), sum(x > 0 for x in v) / n, min(sum(x > 0 for x in v), 50), sum(v) / n, max(v), min(len({w for w, x in zip(ws, v) if x > 0}), 50),
+        max((1 / (1 + abs(i - j)) for i in at for j in you), default=0), sum(second) / n, upper / max(1, upper + lower), len(re.findall(r"\b[A-Z]{3,}\b", text)) / n,
+        text.count("!") / chars, len(re.findall(r"[!-/:-@\[-`{-~]", text)) / chars, len(re.findall(r"(?<=[^\W\d_])[0-9@$!*]+(?=[^\W\d_])", text)) / n, np.log1p(n),
+        max((sum(i <= j < i + 50 for j in at) for i in at), default=0),
+    ]
+
+
+def test_features_against_a_count_by_hand():
+    rng = random.Random(8)
+    learned = {"vile": 2.0, "vilesta*": 1.5, "grub*": 3.0, "grubbi*": 0.5, "éclat": 1.25}
+    pieces = "vile Vilestann grub grubby GRUBBIEST éclat idiot YOU you tú the of a THE st0pid a$$hat 12 x_y! ... d'un 数学 ABC ABc \n e! İ".split(" ")
+    texts = [None, "", "...", "you", "a1b c2 3d e4\nf"] + [" ".join(rng.choice(pieces) for _ in range(rng.choice([1, 5, 40, 300]))) for _ in range(60)]
+    hashed = {(len(u) - 1 if u.endswith("*") else 0, int(tokens([u.strip("*")]).hashes[0])): w for u, w in learned.items()}
+    got = toxicity.feature_rows(texts, toxicity.Lexicon(hashed))
+    for t, row in zip(texts, got):
+        assert row.tolist() == pytest.approx(by_hand(t, learned)), t
+    assert toxicity.feature_rows([], toxicity.Lexicon({})).shape == (0, len(toxicity.FEATURES))
+    assert toxicity.feature_rows(["idiot"], toxicity.Lexicon({}))[0, 1] == 1
 
 
 @pytest.mark.parametrize("clashing", [False, True])
