@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import c, fresh
+from fathom.llm.common import c, cut, fresh
 
 MAX_DOCUMENTS, MIN_CHARS = 10, 5
 
@@ -30,23 +30,28 @@ def _hashes(text: Column, min_chars: int) -> Column:
     return F.transform(lines, lambda x: F.when(F.length(x) >= min_chars, F.xxhash64(x)))
 
 
-def frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, k, h): of each row its id, a hash of its text, and the distinct hashes of its lines."""
+    return docs.select(c(id_col).alias("id"), F.xxhash64(c(text_col)).alias("k"), F.array_compact(F.array_distinct(_hashes(c(text_col), min_chars))).alias("h"))
+
+
+def frequent_lines(hashes: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """(h, n): hashes of lines in more than max_documents distinct documents. Counting is in two steps, so that a line
     of very many documents is first spread by document and then summed per task before it meets on one task."""
-    lines = docs.select(c(id_col).alias("id"), F.explode(F.array_distinct(_hashes(c(text_col), min_chars))).alias("h")).where("h is not null and id is not null")
+    lines = hashes.where("id is not null").select("id", F.explode("h").alias("h"))
     return lines.distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > max_documents)
 
 
 def line_dedup(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with ``text_col`` rebuilt, and two more columns: lines_in, lines_dropped (named afresh where they clash)."""
     key, bad, lines, kept = (fresh(docs, x) for x in ("key_", "bad_", "lines_", "kept_"))
-    frequent = frequent_lines(docs, max_documents, min_chars, id_col, text_col).select("h")
+    # texts are read and normalised once for their hashes, a few bytes a line
+    hashes = cut(line_hashes(docs, min_chars, id_col, text_col))
     # a text meets its frequent lines by a hash of the text: should two texts share it, each still loses frequent lines only
     gone = (
-        docs.select(F.xxhash64(c(text_col)).alias("k"), F.explode(F.array_distinct(_hashes(c(text_col), min_chars))).alias("h"))
-        .where("h is not null")
+        hashes.select("k", F.explode("h").alias("h"))
         .distinct()
-        .join(frequent, "h", "left_semi")
+        .join(frequent_lines(hashes, max_documents).select("h"), "h", "left_semi")
         .groupBy("k")
         .agg(F.collect_set("h").alias("b"))
         .select(F.col("k").alias(key), F.col("b").alias(bad))
