@@ -44,11 +44,16 @@ class Index:
         files (0: one for each task), as a commit interval would."""
         mode = "overwrite" if overwrite else "errorifexists"
         spark = self.docs.sparkSession
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "field", "doc_id").write.mode(mode).option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/postings")
+        # choosing the ranges reads the postings once more: from a file, not from the texts
+        raw = f"{path}/_unsorted"
+        self.postings.write.mode("overwrite").parquet(raw)
+        spark.read.parquet(raw).repartitionByRange("term").sortWithinPartitions("term", "field", "doc_id").write.mode(mode).option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
         stored.groupBy("field", "term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/term_stats")
         stored.groupBy("field").agg(F.sum("tf").alias("total_length")).coalesce(1).write.mode(mode).parquet(f"{path}/field_stats")
         self.docs.write.mode(mode).option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/docs")
+        unsorted = spark._jvm.org.apache.hadoop.fs.Path(raw)
+        unsorted.getFileSystem(spark._jsc.hadoopConfiguration()).delete(unsorted, True)
         return Index.open(spark, path, self.fields)
 
     @staticmethod
