@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from fathom.llm.common import WORD, c, chunks, fresh, lowered, tokens
 
@@ -34,6 +35,9 @@ N, LEAST, SAMPLE = 8, 5, 8
 SHARD_BYTES = 48 << 20
 #: Test words that one pass takes to the tasks (about 100 MB); a larger benchmark takes several passes.
 PASS_WORDS = 1_000_000
+#: A row's spans on their way from pass to pass, for Spark and for Arrow.
+HELD = ArrayType(StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("items", ArrayType(LongType()))]))
+_HELD = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("items", pa.list_(pa.int64()))]))
 
 
 class Bits:
@@ -251,28 +255,46 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def searched(docs: DataFrame, text_col: str, benchmark: DataFrame, n: int, least: int, schema: StructType | str, finish: Callable[[pa.Table, list[list[tuple]]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What finish makes of a shard and its rows' spans. Every pass searches the texts as they came; the spans merged so
+    far go from pass to pass in a column of their own, so that however many passes there are, the spans are the same."""
+    at, every = docs.columns.index(text_col), list(passes(benchmark, n, least))
+    held = StructType([*docs.schema.fields, StructField(fresh(docs, "spans_"), HELD)])
+    for k, phrases in enumerate(every):
+
+        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases, first: bool = k == 0, last: bool = k == len(every) - 1) -> Iterator[pa.RecordBatch]:
+            for shard in shards(batches):
+                found = phrases.occurrences(shard.column(at).combine_chunks())
+                if not first:
+                    before = shard.column(shard.num_columns - 1).to_pylist()
+                    shard = shard.remove_column(shard.num_columns - 1)
+                    found = [[(x["a"], x["b"], x["items"]) for x in was] + new for was, new in zip(before, found)]
+                spans = [merged(x) for x in found]
+                if last:
+                    yield from finish(shard, spans)
+                else:
+                    column = pa.array([[{"a": a, "b": b, "items": items} for a, b, items in x] for x in spans], _HELD)
+                    yield from shard.append_column(held.fields[-1].name, column).to_batches()
+
+        docs = docs.mapInArrow(run, schema if k == len(every) - 1 else held)
+    return docs
+
+
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start_word, end_word, start_char, end_char, items): what to remove, one row a span. Spans of several passes
-    over a large benchmark may overlap; removing them one after another removes their union."""
+    """(id, start_word, end_word, start_char, end_char, items): what to remove, one row a span."""
     own = docs.select(c(id_col).cast("long").alias("d"), c(text_col).cast("string").alias("t"))
     schema = f"`{id_col}` long, start_word long, end_word long, start_char long, end_char long, items array<long>"
-    result = None
-    for phrases in passes(benchmark, n, least):
 
-        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
-            for shard in shards(batches):
-                texts, rows = shard.column(1).combine_chunks(), []
-                for k, found in enumerate(phrases.occurrences(texts)):
-                    if found:
-                        d, text = shard.column(0)[k].as_py(), texts[k].as_py()
-                        place = [m.span() for m in WORD.finditer(lowered(text))]
-                        rows += [(d, a, b, place[a][0], place[b - 1][1], items) for a, b, items in merged(found)]
-                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], [id_col, "start_word", "end_word", "start_char", "end_char", "items"])
+    def finish(shard: pa.Table, spans: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+        ids, texts, rows = shard.column(0), shard.column(1), []
+        for k, found in enumerate(spans):
+            if found:
+                place = [m.span() for m in WORD.finditer(lowered(texts[k].as_py()))]
+                rows += [(ids[k].as_py(), a, b, place[a][0], place[b - 1][1], items) for a, b, items in found]
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], [id_col, "start_word", "end_word", "start_char", "end_char", "items"])
 
-        spans = own.mapInArrow(run, schema)
-        result = spans if result is None else result.unionByName(spans)
-    return result
+    return searched(own, "t", benchmark, n, least, schema, finish)
 
 
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -286,28 +308,20 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int = LEAST, text_col: str = "text") -> DataFrame:
     """docs with the spans cut from their texts and one more column, contaminated: whether any was."""
     at, flag = docs.columns.index(text_col), fresh(docs, "contaminated")
-    flagged = docs.withColumn(flag, F.lit(False))
-    schema = flagged.schema
-    for phrases in passes(benchmark, n, least):
 
-        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
-            for shard in shards(batches):
-                texts = shard.column(at).combine_chunks()
-                hit, cleaned = np.zeros(len(texts), bool), []
-                for k, found in enumerate(phrases.occurrences(texts)):
-                    if found:
-                        text = texts[k].as_py()
-                        place = [m.span() for m in WORD.finditer(lowered(text))]
-                        hit[k] = True
-                        cleaned.append(remove_spans(text, [(place[a][0], place[b - 1][1]) for a, b, _ in merged(found)]))
-                new = pc.replace_with_mask(texts, pa.array(hit), pa.array(cleaned, texts.type))
-                out = shard.set_column(at, shard.schema.field(at), new)
-                was = shard.column(flag).combine_chunks()
-                out = out.set_column(out.schema.get_field_index(flag), shard.schema.field(flag), pc.or_(was, pa.array(hit)))
-                yield from out.to_batches()
-
-        flagged = flagged.mapInArrow(run, schema)
-    return flagged
+    def finish(shard: pa.Table, spans: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+        texts = shard.column(at).combine_chunks()
+        hit, cleaned = np.zeros(len(texts), bool), []
+        for k, found in enumerate(spans):
+            if found:
+                text = texts[k].as_py()
+                place = [m.span() for m in WORD.finditer(lowered(text))]
+                hit[k] = True
+                cleaned.append(remove_spans(text, [(place[a][0], place[b - 1][1]) for a, b, _ in found]))
+        new = pc.replace_with_mask(texts, pa.array(hit), pa.array(cleaned, texts.type))
+        yield from shard.set_column(at, shard.schema.field(at), new).append_column(flag, pa.array(hit)).to_batches()
+
+    return searched(docs, text_col, benchmark, n, least, docs.withColumn(flag, F.lit(False)).schema, finish)
 
 
 #: The merged spans by plain n-gram joins, for items of at least N words (all that the given benchmark has).

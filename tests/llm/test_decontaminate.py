@@ -81,6 +81,21 @@ def test_large_benchmarks_take_several_passes(spark, monkeypatch):
     assert rows(D.decontaminate(docs, bench)) == once and all(r[2] for r in once)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_passes_agree_with_one_pass_where_their_items_overlap(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    w = [f"w{i}" for i in range(60)]
+    starts = [rng.randrange(50) for _ in range(12)]
+    # overlapping items, and one whose words meet only when another's are cut from between them
+    items = [(rng.randrange(10**9), " ".join(w[a : a + 10])) for a in starts] + [(rng.randrange(10**9), " ".join(w[8:12] + w[22:26]))]
+    texts = [(i, " ".join(w[rng.randrange(20) :])) for i in range(6)] + [(7, None), (7, " ".join(w[8:26])), (7, " ".join(w[8:26]))]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)
+    once = [rows(f(docs, bench)) for f in (D.contaminated_spans, D.decontaminate)]
+    monkeypatch.setattr(D, "PASS_WORDS", 30)
+    assert len(list(D.passes(bench, 8, 5))) > 3
+    assert [rows(f(docs, bench)) for f in (D.contaminated_spans, D.decontaminate)] == once
+
+
 def test_shards_of_several_batches_and_small_ones(spark, monkeypatch):
     item = "one two three four five six seven eight nine"
     docs = spark.createDataFrame([(i, f"x{i} {item} y") for i in range(50)], "doc_id long, text string")
