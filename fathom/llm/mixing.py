@@ -9,6 +9,10 @@ Blocks of documents (by a hash of the id) are rounded in parallel; each leaves a
 Those meet in a reduction tree: ``FAN_IN`` blocks at a time, until one is left per source, which a last draw decides.
 All draws are fixed by the seed, so a task that runs again decides the same.
 
+Copies aren't bounded: a source of few characters and a large share is repeated as often as its share takes. A caller that
+gives ``max_copies`` bounds a document's expected copies; what that cuts from a source isn't given to others, so the
+source then misses its weight and the whole falls short of the target by as much.
+
 Defined results
 - null source: a source of its own. Null or empty text: size 0, the same copies as others of the source.
 - null id, repeated rows: units like others, one result row each.
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import c, cut, fresh
 
-TEMPERATURE, MAX_COPIES, SEED = 0.7, 4.0, 17
+TEMPERATURE, MAX_COPIES, SEED = 0.7, math.inf, 17
 BLOCK_ROWS, FAN_IN = 20_000, 64
 _EPS = 1e-9
 

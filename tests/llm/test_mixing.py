@@ -59,6 +59,15 @@ def test_copies_add_up_to_each_source_s_share(spark, monkeypatch, blocks):
     assert copies["s3"] == 0
 
 
+@pytest.mark.parametrize("options", [{"weights": {"rare": 0.5, "common": 0.5}}, {"temperature": 0.0}])
+def test_a_rare_source_gets_its_whole_share(spark, options):
+    docs = [(i, "rare" if i < 4 else "common", "x" * 10) for i in range(404)]
+    copies = defaultdict(int)
+    for r in mixing.mix(spark.createDataFrame(docs, DOCS), **options).collect():
+        copies[r["source"]] += r["copies"]
+    assert copies == {"rare": 202, "common": 202}
+
+
 def test_expectations_over_seeds(spark):
     docs = spark.createDataFrame([(i, "a", "x" * 10) for i in range(12)], DOCS)
     drawn = np.zeros(12)
