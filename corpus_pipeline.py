@@ -1,7 +1,7 @@
 """A corpus pipeline: five training-data operators, one after another.
 
 Each stage takes what its predecessor kept, as written and read again, and its decisions take effect: toxic documents go,
-lines that many documents share go from the texts, one document of each group of near copies stays, passages of the
+lines that many different texts share go from all but one of them, one document of each group of near copies stays, passages of the
 benchmark are cut out, and the sources are mixed. All stages but the last return the columns of documents; the last adds
 ``copies``, how often a document is to be seen, and leaves out those that aren't drawn.
 """
@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _as_documents(line_dedup.line_dedup(docs), docs)
+    return _as_documents(line_dedup.line_dedup(docs, keep_one=True), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,10 +4,15 @@ A line is normalised by lower-casing, turning runs of blanks into one and trimmi
 than ``min_chars`` characters (blank lines among them) are never dropped, nor counted. A line found in more than
 ``max_documents`` distinct documents is dropped everywhere it stands; the other lines keep order and spelling.
 
+That takes a text from all its copies when there are more than ``max_documents``. With ``keep_one``, for stages that are
+followed by one that drops copies, documents of the same text count as one, and a frequent line stays in one text, in all
+its copies: that of the smallest id. So exact copies stay exact copies, and no line goes from all documents.
+
 Defined results
 - null or empty text: kept as it is. A text all of whose lines go becomes the empty string (the row stays).
 - null id: its lines count for no document, but frequent lines go from it too. Rows that share an id are one document.
-- Ties don't arise: only counts against a threshold matter. An empty table gives an empty one. Extra columns stay.
+- Ties don't arise: only counts against a threshold matter; with keep_one, of texts that share the smallest id the one of
+  the smallest hash has the line. A text whose rows all have null ids is never the one that keeps it. An empty table gives an empty one. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -42,17 +47,28 @@ def frequent_lines(hashes: DataFrame, max_documents: int = MAX_DOCUMENTS) -> Dat
     return lines.distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > max_documents)
 
 
-def line_dedup(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_lines(hashes: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """(h, keeper): hashes of lines in more than max_documents documents of different texts, each text counting for its
+    smallest id, and the hash of the text that keeps the line."""
+    texts = hashes.where("id is not null").groupBy("k").agg(F.min("id").alias("id"), F.first("h").alias("h"))
+    lines = texts.select("k", "id", F.explode("h").alias("h")).groupBy("h", "id").agg(F.min("k").alias("k"))
+    counted = lines.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "k")).alias("least"))
+    return counted.where(F.col("n") > max_documents).select("h", F.col("least.k").alias("keeper"))
+
+
+def line_dedup(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", keep_one: bool = False) -> DataFrame:
     """docs with ``text_col`` rebuilt, and two more columns: lines_in, lines_dropped (named afresh where they clash)."""
     key, bad, lines, kept = (fresh(docs, x) for x in ("key_", "bad_", "lines_", "kept_"))
     # texts are read and normalised once for their hashes, a few bytes a line
     hashes = cut(line_hashes(docs, min_chars, id_col, text_col))
     # a text meets its frequent lines by a hash of the text: should two texts share it, each still loses frequent lines only
+    stand = hashes.select("k", F.explode("h").alias("h")).distinct()
+    if keep_one:
+        frequent = stand.join(kept_lines(hashes, max_documents), "h").where("k <> keeper")
+    else:
+        frequent = stand.join(frequent_lines(hashes, max_documents).select("h"), "h", "left_semi")
     gone = (
-        hashes.select("k", F.explode("h").alias("h"))
-        .distinct()
-        .join(frequent_lines(hashes, max_documents).select("h"), "h", "left_semi")
-        .groupBy("k")
+        frequent.groupBy("k")
         .agg(F.collect_set("h").alias("b"))
         .select(F.col("k").alias(key), F.col("b").alias(bad))
     )

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+import corpus_pipeline
 from fathom.llm import line_dedup
 from tests.llm.hostile import empty, hostile
 
@@ -43,6 +44,22 @@ def test_distinct_documents_are_counted_not_rows(spark):
     assert sorted(r["text"] for r in line_dedup.line_dedup(df, max_documents=1).collect()) == ["", "", "other"]
 
 
+def test_one_text_keeps_a_frequent_line(spark):
+    copies = [(i, "a text of\nmany copies") for i in range(20, 35)]
+    shared = [(i, f"own line {i}\na licence line") for i in (None, *range(40, 55))]
+    twice = [(60, f"version {i} of one document\nonly here") for i in range(15)]
+    docs = spark.createDataFrame(copies + shared + twice, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in line_dedup.line_dedup(docs, keep_one=True).collect()), key=repr)
+    assert got == sorted(copies + [(i, t if i == 40 else f"own line {i}") for i, t in shared] + twice, key=repr)
+
+
+def test_the_pipeline_s_stages_leave_one_of_many_copies(spark):
+    text = "\n".join(f"line {k} tells of things {k * 7} that no other line {k * 13} tells" for k in range(6))
+    docs = spark.createDataFrame([(i, text, "en", "a", len(text)) for i in range(25)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, corpus_pipeline.drop_frequent_lines(spark, docs, ""), "")
+    assert [(r["doc_id"], r["text"]) for r in kept.collect()] == [(0, text)]
+
+
 @pytest.mark.parametrize("clashing", [False, True])
 def test_hostile_documents(spark, clashing):
     df = hostile(spark, clashing)
