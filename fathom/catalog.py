@@ -16,7 +16,7 @@ from fathom.engine import Engine
 from fathom.functions.text import idf, term_frequencies
 from fathom.operators.facets import filtered_stats, full_ranges, range_stats
 from fathom.operators.filters import range_filter
-from fathom.operators.keywords import TopTerms, more_like_all, overlap, recall
+from fathom.operators.keywords import Acceptor, TopTerms, more_like_all, overlap, recall
 from fathom.operators.store import hydrate, last_wins
 from fathom.operators.topk import after, collect_page, counts, merge_pages, sort_key, top_k, tuple_cursor
 from fathom.plans.compiler import explained, search
@@ -386,20 +386,32 @@ def _accept(term, tf, df, n):
 _ACCEPT = "field = 'body' and df > 5 and length(term) > 4 and df <= 50 and term not like '%tion'"
 
 
+def _accept_any_df(term, tf, df, n):
+    return (df > 5) & (F.length(term) > 4) & ~term.endswith("tion")
+
+
+_ACCEPT_ANY_DF = "field = 'body' and df > 5 and length(term) > 4 and term not like '%tion'"
+
+
 @query(_INDEX + _KEYWORDS.format(_ACCEPT) + "select doc_id, field, term, score, rank from kw where rank <= 5")
 def keywords_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TopTerms(index_of(spark, sf_dir), ["body"]).extract_all(5, _accept).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(_INDEX + _KEYWORDS.format(_ACCEPT_ANY_DF) + "select doc_id, field, term, score, rank from kw where rank <= 5")
+def keywords_filtered_any_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TopTerms(index_of(spark, sf_dir), ["body"]).extract_all(5, _accept_any_df).withColumn("rank", F.col("rank").cast("long"))
+
+
 _MLT = (
     ", ks as (select *, score / max(score) over (partition by doc_id) as share from kw where rank <= 20), ml as (select ks.doc_id as src, sc.doc_id, round(sum(sc.s{}), 6) as score"
     " from ks join sc using (field, term) group by 1, 2), mr as (select src, doc_id, score, row_number() over (partition by src order by score desc, doc_id) as rank from ml)"
 )
 
 
-def _similar(spark: SparkSession, sf_dir: str, boosted: bool) -> DataFrame:
+def _similar(spark: SparkSession, sf_dir: str, boosted: bool, accept: Acceptor = _accept) -> DataFrame:
     index = index_of(spark, sf_dir)
-    keywords = TopTerms(index, ["body"]).extract_all(20, _accept)
+    keywords = TopTerms(index, ["body"]).extract_all(20, accept)
     return more_like_all(index, keywords, 11, boosted).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -413,6 +425,17 @@ def mlt_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _similar(spark, sf_dir, True)
 
 
+@query(_INDEX + _KEYWORDS.format(_ACCEPT_ANY_DF) + _MLT.format("") + "select src, doc_id, score, rank from mr where rank <= 11")
+def mlt_simple_any_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of any document frequency above 5: many copies of a document find each other."""
+    return _similar(spark, sf_dir, False, _accept_any_df)
+
+
+@query(_INDEX + _KEYWORDS.format(_ACCEPT_ANY_DF) + _MLT.format(" * share") + "select src, doc_id, score, rank from mr where rank <= 11")
+def mlt_boosted_any_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _similar(spark, sf_dir, True, _accept_any_df)
+
+
 @query(
     _INDEX
     + _KEYWORDS.format(_ACCEPT)

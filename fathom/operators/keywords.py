@@ -15,6 +15,9 @@ from fathom.sources.index import Index
 #: (term, tf, df, number of documents) -> whether to accept; a column expression, so that the optimiser sees it
 Acceptor = Callable[[Column, Column, Column, Column], Column]
 
+#: Documents in one part of a term's postings, about, where batch similarity joins them.
+PART_DOCS = 1_000
+
 
 @dataclass
 class Keywords:
@@ -86,14 +89,17 @@ class TopTerms:
 
 def more_like_all(index: Index, keywords: DataFrame, limit: int, boosted: bool = False) -> DataFrame:
     """(src, doc_id, score, rank): for each document of keywords (doc_id, field, term, score) the best matches of a query
-    of its keywords, itself among them. Pairs meet on (field, term): the acceptor that chose the keywords must bound how
-    many documents a keyword may have, as that bounds the join."""
+    of its keywords, itself among them. Pairs meet on (field, term, part): the postings of a term of many documents lie in
+    parts of about PART_DOCS, so that no task joins all of them."""
     stats = index.term_stats.join(index.field_stats, "field").crossJoin(index.num_docs())
     top = Window.partitionBy("doc_id")
     boost = F.col("score") / F.max("score").over(top) if boosted else F.lit(1.0)
     asked = keywords.withColumn("boost", boost).select(F.col("doc_id").alias("src"), "field", "term", "boost")
-    known = asked.join(stats, ["field", "term"])
-    pairs = known.join(index.postings.drop("positions"), ["field", "term"])
+    parts = F.ceil(F.col("df") / PART_DOCS)
+    known = asked.join(stats, ["field", "term"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    spread = index.postings.drop("positions").join(index.term_stats.select("field", "term", parts.alias("parts")), ["field", "term"])
+    spread = spread.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts")
+    pairs = known.join(spread, ["field", "term", "part"])
     score = bm25(F.col("tf").cast("double"), idf(F.col("df"), F.col("n_docs")), F.col("dl"), F.col("total_length") / F.col("n_docs")) * F.col("boost")
     sums = pairs.groupBy("src", "doc_id").agg(F.round(F.sum(score), 6).alias("score"))
     by = Window.partitionBy("src").orderBy(F.desc("score"), F.asc("doc_id"))
