@@ -5,7 +5,9 @@ import io
 import json
 import random
 import struct
+import time
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +23,11 @@ def record(text, uri="http://x/"):
     return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {uri}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
 
 
+def deflated(data):
+    d = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return d.compress(data) + d.flush()
+
+
 def zip64_package(entries):
     """A package whose directory holds sizes and places in ZIP64 fields alone."""
     out, central = io.BytesIO(), b""
@@ -54,16 +61,17 @@ def test_zip64_directory_index_and_unindexed_archives(spark, tmp_path):
             ("archive/a.warc.gz", b"".join(a), 0),
             ("archive/b.warc", record("plain one") + record("plain two"), 0),
             ("archive/c.warc.gz", b"".join(map(gzip.compress, (record("gz one"), record("gz two")))), 0),
-            ("archive/d.warc", b"compressed, who knows how", 8),
+            ("archive/d.warc", b"compressed, who knows how", 93),
+            ("archive/e.warc.gz", deflated(gzip.compress(record("deflated one")) + gzip.compress(record("deflated two"))), 8),
             ("pages/pages.jsonl", b"{}", 0),
             ("indexes/index.cdxj.gz", index, 0),
         ]
     )
     (tmp_path / "p.wacz").write_bytes(data)
     with warc.opened(str(tmp_path / "p.wacz")) as f:
-        assert [(m.name, m.method) for m in warc.members(f)][3] == ("archive/d.warc", 8)
+        assert [(m.name, m.method) for m in warc.members(f)][3] == ("archive/d.warc", 93)
     got = [(r["archive"], warc.http_body(bytes(r["body"])).decode()) for r in read(spark, tmp_path / "p.wacz").collect()]
-    want = [("archive/a.warc.gz", "page 0"), ("archive/a.warc.gz", "page 2")] + [(f"archive/{n}", f"{t} {k}") for n, t in (("b.warc", "plain"), ("c.warc.gz", "gz")) for k in ("one", "two")]
+    want = [("archive/a.warc.gz", "page 0"), ("archive/a.warc.gz", "page 2")] + [(f"archive/{n}", f"{t} {k}") for n, t in (("b.warc", "plain"), ("c.warc.gz", "gz"), ("e.warc.gz", "deflated")) for k in ("one", "two")]
     assert sorted(got) == sorted(want)
 
 
@@ -105,9 +113,9 @@ def test_only_ranges_are_read(tmp_path):
         plan = list(warc.plan_package(counted))
         assert len(plan) == 50
         assert counted.n < 80_000 < path.stat().st_size / 10
-        name, at, length, single = plan[30]
-        got, _ = warc.parse_record(warc.inflate(warc.ranged(f, at, length)))
-        assert got.headers["x-page-id"] == "30" and single
+        x = plan[30]
+        got = warc.parse_record(warc.inflate(warc.ranged(f, x.place, x.length)))
+        assert got.headers["x-page-id"] == "30" and x.single
 
 
 @pytest.mark.parametrize("clashing", [False, True])
@@ -125,7 +133,7 @@ def test_many_small_packages_and_ranges(spark, monkeypatch, tmp_path):
     data = [(i, f"http://x/{i}", "<html>" * (i % 7)) for i in range(300)]
     paths = warc.pack_pages(spark.createDataFrame(data, PAGES).repartition(5), str(tmp_path / "packs"))
     assert paths.count() == 5
-    assert sorted(map(tuple, warc.pages_of(warc.read_packages(spark, paths)).collect())) == data
+    assert sorted(map(tuple, warc.read_pages(spark, paths).collect())) == data
 
 
 def test_empty_tables_and_packages(spark, tmp_path):
@@ -148,8 +156,57 @@ def test_broken_files_are_named(spark, tmp_path):
 
 
 def test_folded_headers_and_early_ends():
-    raw = b"WARC/1.0\r\nA: b\r\n c\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\nrest"
-    got, n = warc.parse_record(raw)
-    assert got.headers["a"] == "b c" and got.body == b"xyz" and raw[n:] == b"rest"
+    raw = b"\r\nWARC/1.0\r\nA: b\r\n c\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\nWARC/1.0\r\n\r\n\r\n"
+    first, second = warc.records_of(raw[i : i + 1] for i in range(len(raw)))  # byte by byte
+    assert first.headers["a"] == "b c" and first.body == b"xyz" and second.body == b""
+    assert list(warc.records_of([])) == [] and list(warc.records_of([b"\r\n\r\n"])) == []
+    for early in (b"WARC/1.0\r\nContent-Length: 30\r\n\r\nxyz", b"WARC/1.0\r\nContent"):
+        with pytest.raises(ValueError):
+            list(warc.records_of([early]))
     with pytest.raises(ValueError):
-        warc.parse_record(b"WARC/1.0\r\nContent-Length: 30\r\n\r\nxyz")
+        list(warc.decompressed([gzip.compress(b"x" * 99)[:-9]], 31))
+
+
+def test_pages_of_any_head_charset_and_coding():
+    text = warc.payload_text
+    long = b"Set-Cookie: " + b"c" * 100_000 + b"\r\n"
+    assert text(b"HTTP/1.1 200 OK\r\n" + long + b"\r\n<p>\xc3\xa9</p>") == "<p>é</p>"
+    assert text(b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\ncaf\xe9") == "café"
+    assert text(b"HTTP/1.1 200 OK\r\n\r\ncaf\xe9 \x80") == "café €"  # nothing declared, and no UTF-8
+    assert text(b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\ncaf\xe9") == "caf�"
+    for odd in ("nope", "rot13", "hex", ""):
+        assert text(f"HTTP/1.1 200 OK\r\nContent-Type: x; charset={odd}\r\n\r\nplain".encode()) == "plain"
+    zipped = gzip.compress(b"one two")
+    assert text(b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + zipped) == "one two"
+    assert text(b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\nnot zipped") == "not zipped"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    assert text(chunked + b"4;x=y\r\nwiki\r\nA\r\npedia in c\r\n0\r\n\r\n") == "wikipedia in c"
+    assert text(chunked + b"no chunks") == "no chunks"
+    assert text(b"no head\r\n\r\nat all") == "no head\r\n\r\nat all"
+
+
+def test_long_heads_and_other_charsets_in_a_package(spark, tmp_path):
+    def response(head, body):
+        http = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n" + body
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://x/\r\nX-Page-Id: x9\r\nContent-Length: %d\r\n\r\n" % len(http) + http + b"\r\n\r\n"
+
+    archive = response(b"Set-Cookie: " + b"c" * 5000 + b"\r\n", b"<p>page</p>") + response(b"Content-Type: text/html; charset=latin1\r\n", b"\xe9")
+    with zipfile.ZipFile(tmp_path / "p.wacz", "w") as z:
+        z.writestr("archive/a.warc", archive)
+    got = warc.read_pages(spark, spark.createDataFrame([(str(tmp_path / "p.wacz"),)], "path string")).collect()
+    assert sorted(map(tuple, got), key=repr) == [(None, "http://x/", "<p>page</p>"), (None, "http://x/", "é")]
+
+
+@pytest.mark.parametrize("name", ["a.warc", "a.warc.gz"])
+def test_a_large_archive_without_an_index_takes_time_in_proportion(tmp_path, name):
+    took = []
+    for n in (2_000, 16_000):
+        one = record("x" * 4000)
+        data = (gzip.compress(one, 1) if name.endswith(".gz") else one) * n
+        (tmp_path / name).write_bytes(data)
+        begun = time.perf_counter()
+        with warc.opened(str(tmp_path / name)) as f:
+            parts = warc.parts_of(f, 0, len(data))
+            assert sum(1 for _ in warc.records_of(warc.decompressed(parts, 31) if name.endswith(".gz") else parts)) == n
+        took.append(time.perf_counter() - begun)
+    assert took[1] < 8 * 3 * took[0] + 0.5
