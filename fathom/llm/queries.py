@@ -76,6 +76,7 @@ SQL: dict[str, str] = {
     "quality_ablations": _quality.ABLATION_SQL,
     "op4_decontaminate": _decontaminate.SQL,
     "op5_warc": _warc.SQL,
+    "op6_secret_scan": _secrets.SQL,
     "op8_suffix_dedup": _suffix.SQL,
     "op10_line_dedup": _line.SQL,
 }

@@ -1,29 +1,33 @@
 """Secret scans: sliding-window Shannon entropy per character class over candidate strings.
 
 Candidates are unbroken strings of key characters. In each one, every run of a class's alphabet at least a window long is
-scanned: counts of the characters within the window, and the sum of count * log2(count), are kept up to date as one
-character enters and one leaves, so a step costs the same however long the window. Windows over the class's threshold
-that hold the kinds of characters the class demands merge into findings. A finding inside another of a class named
-earlier is left out. What an allow-list expression matches stays in the result, marked as suppressed.
+scanned: as the window moves, one character enters and one leaves, and the sum of count * log2(count) changes by what these
+two counts change; the sums of those changes are the entropies of all windows, so a step costs the same however long the
+window. Windows over the class's threshold that hold the kinds of characters the class demands merge into findings. A
+finding inside another of a class named earlier is left out. What an allow-list expression matches, anywhere in the whole
+text, stays in the result, marked as suppressed.
 
 Defined results
 - null or empty text: no finding. Null id: findings with a null id. Repeated rows: each has its own findings.
-- ties: of windows of equal entropy the first counts. Empty table: empty result. Extra columns: ignored.
+- very long texts and very long candidates: scanned whole, in time in proportion (but for sorting a run's characters).
+- ties: a window of exactly the threshold (to nine digits) counts; of windows of equal entropy the value is the same.
+- letters outside ASCII belong to no candidate. Empty table: empty result. Extra columns: ignored.
 - the secret itself is never returned, only its place, length and SHA-256.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fathom.llm.common import c, chunks
+from fathom.llm.common import c, chunks, codes
 
 
 class CharClass(NamedTuple):
@@ -38,6 +42,7 @@ CLASSES = (
     CharClass("hex", "0-9a-fA-F", 32, 3.0, ("0-9", "a-fA-F")),
     CharClass("upper_digit", "A-Z0-9", 16, 3.1, ("0-9", "A-Z")),
     CharClass("base64", "A-Za-z0-9+/=_-", 24, 4.0, ("0-9", "A-Z", "a-z")),
+    CharClass("lower_digit", "a-z0-9", 24, 3.7, ("0-9", "a-z")),
 )
 #: Published examples, digests of nothing, and places where digests are no secrets.
 ALLOWED = (
@@ -58,63 +63,78 @@ class Finding(NamedTuple):
     suppressed: bool
 
 
-def window_entropies(s: str, window: int) -> Iterator[float]:
-    """The Shannon entropy of each window, by incremental counts: H = log2(w) - sum(n * log2(n)) / w."""
-    counts: dict[str, int] = {}
-    f = [0.0] + [n * math.log2(n) for n in range(1, window + 2)]
-    total = 0.0
-    for i, x in enumerate(s):
-        n = counts.get(x, 0)
-        counts[x] = n + 1
-        total += f[n + 1] - f[n]
-        if i >= window:
-            y = s[i - window]
-            n = counts[y]
-            counts[y] = n - 1
-            total += f[n - 1] - f[n]
-        if i >= window - 1:
-            yield math.log2(window) - total / window
+def window_entropies(s: np.ndarray, window: int) -> np.ndarray:
+    """The Shannon entropy of each window of characters, by incremental counts: H = log2(w) - sum(n * log2(n)) / w."""
+    n = len(s)
+    if n < window:
+        return np.zeros(0)
+    f = np.concatenate([[0.0], (m := np.arange(1, window + 2)) * np.log2(m)])
+    at, wide = np.arange(n), n + 1
+    own = s.astype(np.int64) * wide
+    place = np.sort(own + at)  # of each character its places
+    before = lambda character, i: np.searchsorted(place, character + i)
+    rank = before(own, at)
+    # how often what enters stands in the window already, and what leaves stands in it and where it enters next
+    enters = rank - before(own, np.maximum(at - window, 0))
+    leaves = before(own[: n - window], at[: n - window] + window + 1) - rank[: n - window]
+    change = f[enters + 1] - f[enters]
+    change[window:] -= f[leaves] - f[leaves - 1]
+    return np.log2(window) - np.cumsum(change)[window - 1 :] / window
+
+
+def _within(pattern: str) -> np.ndarray:
+    one = re.compile(f"[{pattern}]")
+    return np.array([bool(one.match(chr(i))) for i in range(128)])
 
 
 class Scanner:
     def __init__(self, classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> None:
-        shortest = min(k.window for k in classes)
-        every = "".join(dict.fromkeys(x for k in classes for x in k.alphabet.replace("-", "") if not x.isalnum()))
-        key = f"A-Za-z0-9{re.escape(every)}-"
-        self.candidates = re.compile(rf"(?<![{key}])[{key}]{{{shortest},}}")
-        self.classes = [(k, re.compile(f"[{k.alphabet}]{{{k.window},}}"), [re.compile(f"[{d}]") for d in k.demands]) for k in classes]
+        self.candidates = re.compile(candidates(classes))
+        self.classes = [(k, re.compile(f"[{k.alphabet}]{{{k.window},}}"), [re.compile(f"[{d}]") for d in k.demands], [_within(d) for d in k.demands]) for k in classes]
         self.allowed = [re.compile(a) for a in allowed]
-        self.reach = 16  # characters before a candidate that an allow-list expression may need
 
     def scan(self, text: str | None) -> list[Finding]:
         out: list[Finding] = []
         for m in self.candidates.finditer(text or ""):
             out += self.scan_candidate(text, m.start(), m.end())
-        return out
+        if not out:
+            return out
+        quiet = sorted(m.span() for a in self.allowed for m in a.finditer(text))
+        starts, ends = [a for a, _ in quiet], np.maximum.accumulate([b for _, b in quiet]).tolist()
+        return sorted(x._replace(suppressed=(k := bisect_right(starts, x.end - 1)) > 0 and ends[k - 1] > x.start) for x in out)
 
     def scan_candidate(self, text: str, begin: int, end: int) -> list[Finding]:
         found: list[Finding] = []
-        for k, runs, demands in self.classes:
+        earlier: list[list[tuple[int, int]]] = []  # of each class its spans, in order and apart
+        for k, runs, demands, kinds in self.classes:
+            own: list[tuple[int, int]] = []
             for r in runs.finditer(text, begin, end):
-                s, spans = r.group(), []
-                if not all(d.search(s) for d in demands):
+                if not all(d.search(text, r.start(), r.end()) for d in demands):
+                    continue
+                s = codes(r.group())
+                h = np.round(window_entropies(s, k.window), 9)
+                hot = h >= k.threshold
+                for kind in kinds:
+                    n = np.concatenate([[0], np.cumsum(kind[s])])
+                    hot &= n[k.window :] > n[: -k.window]
+                i = np.flatnonzero(hot)
+                if not len(i):
                     continue
-                for i, h in enumerate(window_entropies(s, k.window)):
-                    if h >= k.threshold and all(d.search(s, i, i + k.window) for d in demands):
-                        if spans and i <= spans[-1][1]:
-                            spans[-1][1] = i + k.window
-                            spans[-1][2] = max(spans[-1][2], h)
-                        else:
-                            spans.append([i, i + k.window, h])
-                for a, b, h in spans:
-                    a, b = a + r.start(), b + r.start()
-                    if not any(x.start <= a and b <= x.end for x in found):
-                        found.append(Finding(a, b, k.name, round(h, 6), False))
-        if found:
-            lead = max(0, begin - self.reach)
-            quiet = [(m.start() + lead, m.end() + lead) for a in self.allowed for m in a.finditer(text[lead:end])]
-            found = [x._replace(suppressed=any(a < x.end and x.start < b for a, b in quiet)) for x in found]
-        return sorted(found)
+                first = np.flatnonzero(np.concatenate([[True], np.diff(i) > k.window]))
+                last = np.concatenate([first[1:], [len(i)]]) - 1
+                for a, b, most in zip(i[first].tolist(), i[last].tolist(), np.maximum.reduceat(h[i], first).tolist()):
+                    a, b = a + r.start(), b + k.window + r.start()
+                    if not any((j := bisect_right(spans, (a, end))) and spans[j - 1][1] >= b for spans in earlier):
+                        own.append((a, b))
+                        found.append(Finding(a, b, k.name, round(most, 6), False))
+            earlier.append(own)
+        return found
+
+
+def candidates(classes: tuple[CharClass, ...]) -> str:
+    """The expression of candidates: key characters, as many as the shortest window."""
+    every = "".join(dict.fromkeys(x for k in classes for x in k.alphabet.replace("-", "") if not x.isalnum()))
+    return f"[A-Za-z0-9{re.escape(every)}-]{{{min(k.window for k in classes)},}}"
 
 
 def secret_scan(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,3 +154,54 @@ def secret_scan(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allow
 
     own = docs.select(c(id_col).cast("long").alias(id_col), c(text_col).cast("string").alias("text_"))
     return own.mapInArrow(run, f"`{id_col}` long, start_char long, end_char long, kind string, entropy double, sha256 string, suppressed boolean")
+
+
+def _sql(classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> str:
+    """All windows of all runs, each counted anew. A text's or candidate's pieces, what matches and what doesn't in turn,
+    give places by the lengths of those before."""
+    key = candidates(classes)
+
+    def pieces(name: str, source: str, carried: str, text: str, expression: str, offset: str) -> str:
+        return f"""{name} as (
+  select {carried}, piece, {offset} + coalesce(sum(length(piece)) over (partition by {carried} order by i rows between unbounded preceding and 1 preceding), 0)::bigint as a
+  from (select {carried}, unnest(x) as piece, generate_subscripts(x, 1) as i from (select {carried}, regexp_extract_all({text}, '{expression}') as x from {source}))
+)"""
+
+    every = key[: key.index("]") + 1]
+    runs = " union all ".join(
+        f"select c.n, c.a as ca, {j} as k, r.piece, r.a from (select * from run{j}) r join cand c on c.n = r.n and c.a = r.ca where length(r.piece) >= {k.window} and regexp_full_match(r.piece, '[{k.alphabet}]+')"
+        for j, k in enumerate(classes)
+    )
+    values = ", ".join(f"({j}, '{k.name}', {k.window}, {k.threshold}::double)" for j, k in enumerate(classes))
+    demands = " when ".join(f"{j} then " + " and ".join(f"regexp_matches(s, '[{d}]')" for d in k.demands) for j, k in enumerate(classes))
+    run_pieces = ", ".join(
+        pieces(f"run{j}", "cand", "n, a_", "piece", f"[{k.alphabet}]+|[^{k.alphabet}]+", "a_").replace("n, a_, piece,", "n, a_ as ca, piece,") for j, k in enumerate(classes)
+    )
+    quiet = ", ".join(pieces(f"q{j}", "(select distinct n, text from d join found using (n))", "n", "text", f"(?:{a})|(?s:.)", "0") for j, a in enumerate(allowed))
+    quiet_all = " union all ".join(f"select n, a, a + length(piece) as b from q{j} where length(piece) > 1" for j in range(len(allowed)))
+    return f"""
+with d as (select row_number() over () as n, doc_id, text from documents where text is not null and text <> ''),
+{pieces("seg", "d", "n", "text", f"{every}+|[^{every[1:]}+", "0")},
+cand as (select n, a, a as a_, piece from seg where regexp_full_match(piece, '{key}')),
+{run_pieces},
+runs as ({runs}),
+kinds(k, kind, w, least) as (values {values}),
+win as (select n, ca, k, a as ra, i, substring(piece, i + 1, w) as s, w, least from (select *, unnest(range(0, length(piece) - w + 1)) as i from runs join kinds using (k))),
+chars as (select n, ca, k, ra, i, ch, count(*) as m from (select n, ca, k, ra, i, unnest(string_split(s, '')) as ch from win) group by all),
+ent as (select n, ca, k, ra, i, sum(m * log2(m)) as t from chars group by all),
+hot as (
+  select n, ca, k, ra, i, w, h from (select *, round(log2(w) - t / w, 9) as h from win join ent using (n, ca, k, ra, i))
+  where h >= least and case k when {demands} end
+),
+isles as (select *, sum(case when i <= prev + w then 0 else 1 end) over (partition by n, ca, k, ra order by i) as isle from (select *, lag(i) over (partition by n, ca, k, ra order by i) as prev from hot)),
+spans as (select n, ca, k, ra + min(i) as a, ra + max(i) + any_value(w) as b, round(max(h), 6) as entropy from isles group by n, ca, k, ra, isle),
+found as (select * from spans x where not exists (select 1 from spans y where y.n = x.n and y.ca = x.ca and y.k < x.k and y.a <= x.a and x.b <= y.b)),
+{quiet},
+quiet as ({quiet_all})
+select doc_id, a::bigint as start_char, b::bigint as end_char, kind, entropy, sha256(substring(text, a + 1, b - a)) as sha256,
+  exists (select 1 from quiet q where q.n = f.n and q.a < f.b and f.a < q.b) as suppressed
+from found f join kinds using (k) join d using (n)
+"""
+
+
+SQL = _sql()
