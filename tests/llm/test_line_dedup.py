@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -60,6 +61,20 @@ def test_the_pipeline_s_stages_leave_one_of_many_copies(spark):
     assert [(r["doc_id"], r["text"]) for r in kept.collect()] == [(0, text)]
 
 
+def test_long_texts_of_frequent_lines_take_time_in_proportion(spark):
+    lines = [f"a line number {i}" for i in range(20_000)]
+    docs = [(d, "\n".join(f"{x}\nown {d} {i}" if i % 5_000 == 0 else x for i, x in enumerate(lines))) for d in range(12)]
+    begun = time.perf_counter()
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert time.perf_counter() - begun < 30
+    assert {(r["doc_id"], r["text"], r["lines_dropped"]) for r in got} == {(d, "\n".join(f"own {d} {i}" for i in range(0, 20_000, 5_000)), 20_000) for d in range(12)}
+
+
+def test_short_lines_count_like_others_and_empty_ones_do_not(spark):
+    docs = spark.createDataFrame([(i, f"}}\n\n \nown {i}\n}}") for i in range(12)], "doc_id long, text string")
+    assert {r["text"] for r in line_dedup.line_dedup(docs).collect()} == {f"\n \nown {i}" for i in range(12)}
+
+
 @pytest.mark.parametrize("clashing", [False, True])
 def test_hostile_documents(spark, clashing):
     df = hostile(spark, clashing)
