@@ -14,8 +14,9 @@ gives ``max_copies`` bounds a document's expected copies; what that cuts from a
 source then misses its weight and the whole falls short of the target by as much.
 
 Defined results
-- null source: a source of its own. Null or empty text: size 0, the same copies as others of the source.
-- null id, repeated rows: units like others, one result row each.
+- null source: a source of its own, whose weight is that of the key None. Null or empty text: size 0, the same copies as
+  others of the source. Very long texts: their whole length counts, and they are drawn like others.
+- null id, repeated rows: units like others, one result row each. Ties (equal fractions, equal hashes) go by id.
 - sources without a weight: 0 copies. A source of total size 0: each of its documents stands once, weight or not.
 - weights that are negative, null or not finite: ValueError. Empty table: empty result. Extra columns: kept by the stage.
 """
@@ -69,7 +70,7 @@ def pivotal(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
-def expected_copies(units: DataFrame, weights: dict[str, float] | None, temperature: float, target_size: float | None, max_copies: float) -> DataFrame:
+def expected_copies(units: DataFrame, weights: dict[str | None, float] | None, temperature: float, target_size: float | None, max_copies: float) -> DataFrame:
     """(source, total, n, copies): one row a source, from sums over all units."""
     totals = units.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
     if weights is None:
@@ -77,8 +78,9 @@ def expected_copies(units: DataFrame, weights: dict[str, float] | None, temperat
     else:
         if any(v is None or not math.isfinite(v) or v < 0 for v in weights.values()):
             raise ValueError("weights must be finite and not negative")
-        pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
+        pairs = [x for k, v in weights.items() if k is not None for x in (F.lit(k), F.lit(float(v)))]
         share = F.coalesce(F.create_map(*pairs)[F.col("source")], F.lit(0.0)) if pairs else F.lit(0.0)
+        share = F.when(F.col("source").isNull(), float(weights.get(None, 0.0))).otherwise(share)
         share = F.when(F.col("total") > 0, share).otherwise(0.0)
     all_ = totals.withColumn("share", share)
     whole = all_.agg(F.sum("share").alias("shares"), F.sum("total").alias("everything"))
@@ -99,7 +101,7 @@ def _rounded(df: DataFrame, seed: int, level: int) -> DataFrame:
     return df.groupBy("s", "block").applyInPandas(one, df.schema)
 
 
-def copies_of(units: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, target_size: float | None = None, max_copies: float = MAX_COPIES, seed: int = SEED) -> DataFrame:
+def copies_of(units: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, target_size: float | None = None, max_copies: float = MAX_COPIES, seed: int = SEED) -> DataFrame:
     """(k, id, source, copies) of units (k, id, source, size): k orders the units and spreads them over blocks."""
     plan = expected_copies(units, weights, temperature, target_size, max_copies)
     n = units.count()
@@ -136,8 +138,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The documents drawn at least once, with one more column, copies. Rows that agree in id, source and text come as one
     row with the sum of their copies."""
-    key, copies = fresh(docs, "key_"), fresh(docs, "copies")
+    key, copies, i, s = (fresh(docs, x) for x in ("key_", "copies", "id_", "source_"))
     keyed = docs.withColumn(key, F.xxhash64(c(id_col), c(source_col), c(text_col)))
     own = keyed.select(c(key).alias("k"), c(id_col).alias("id"), c(source_col).cast("string").alias("source"), F.coalesce(F.length(c(text_col)), F.lit(0)).cast("long").alias("size"))
-    drawn = copies_of(own, **options).groupBy("k").agg(F.sum("copies").alias(copies)).where(c(copies) > 0)
-    return keyed.join(drawn.withColumnRenamed("k", key), key).dropDuplicates([key]).select(*[c(x) for x in docs.columns], c(copies))
+    drawn = copies_of(own, **options).groupBy("k", "id", "source").agg(F.sum("copies").alias(copies)).where(c(copies) > 0)
+    drawn = drawn.select(F.col("k").alias(key), F.col("id").alias(i), F.col("source").alias(s), copies)
+    # rows meet by the hash alone, so that texts are shuffled once; that ids and sources agree too is asked of those that met
+    same = lambda a, b: (a == b) | (a.isNull() & b.isNull())
+    met = keyed.join(drawn, key).where(same(c(id_col), c(i)) & same(c(source_col).cast("string"), c(s)))
+    return met.dropDuplicates([key, id_col, source_col]).select(*[c(x) for x in docs.columns], c(copies))
+
+
+def totals(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """(source, documents, characters, expected, kept): of each source what its documents' copies should add up to, and
+    whether they do but for less than one copy."""
+    own = docs.select(c(source_col).cast("string").alias("source"), F.coalesce(F.length(c(text_col)), F.lit(0)).cast("long").alias("size"))
+    o = {"weights": None, "temperature": TEMPERATURE, "target_size": None, "max_copies": MAX_COPIES} | {k: v for k, v in options.items() if k != "seed"}
+    plan = expected_copies(own, **o)
+    drawn = mix(docs, id_col, source_col, text_col, **options).groupBy(c(source_col).alias("s")).agg(F.sum("copies").alias("drawn"))
+    expected = F.col("n") * F.col("copies")
+    return plan.join(drawn, F.col("source").eqNullSafe(F.col("s"))).select(
+        F.col("source").alias(source_col), F.col("n").alias("documents"), F.col("total").alias("characters"), F.round(expected, 6).alias("expected"), (F.abs(F.col("drawn") - expected) < 1 + 1e-6).alias("kept")
+    )
+
+
+#: What ``totals`` gives over documents.
+TOTALS_SQL = f"""
+with t as (select source, count(*) as documents, sum(length(coalesce(text, '')))::bigint as characters from documents group by source),
+w as (select sum(power(characters, {TEMPERATURE})) as shares, sum(characters) as everything from t)
+select source, documents, characters, round(case when characters > 0 then everything * power(characters, {TEMPERATURE}) / shares / characters * documents else documents end, 6) as expected, true as kept
+from t, w
+"""

@@ -59,6 +59,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def mixing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9_mixing draws, held against each source's expected copies."""
+    return _mixing.totals(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,7 +72,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_toxicity, op3_quality_rules, quality_ablations, op4_decontaminate, op5_warc, op6_secret_scan, op7_minhash,
-        op8_suffix_dedup, op9_mixing, op10_line_dedup,
+        op8_suffix_dedup, op9_mixing, mixing_totals, op10_line_dedup,
     )
 }
 SQL: dict[str, str] = {
@@ -78,5 +83,6 @@ SQL: dict[str, str] = {
     "op5_warc": _warc.SQL,
     "op6_secret_scan": _secrets.SQL,
     "op8_suffix_dedup": _suffix.SQL,
+    "mixing_totals": _mixing.TOTALS_SQL,
     "op10_line_dedup": _line.SQL,
 }

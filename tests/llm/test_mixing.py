@@ -68,6 +68,93 @@ def test_a_rare_source_gets_its_whole_share(spark, options):
     assert copies == {"rare": 202, "common": 202}
 
 
+def textbook(p, draws):
+    """The pivotal method as published: each unit with a fraction meets the undecided one, if there is any. A draw belongs to
+    each unit with a fraction but the first, whether it meets another or not."""
+    p, undecided, seen = list(p), None, 0
+    for j, b in enumerate(p):
+        if not 0 < b < 1:
+            continue
+        seen += 1
+        if undecided is None:
+            undecided = j
+            continue
+        i, a, u = undecided, p[undecided], draws[seen - 2]
+        if a + b < 1:
+            winner, loser, left = (j, i, 0.0) if u * (a + b) < b else (i, j, 0.0)
+            p[winner], p[loser] = a + b, left
+        elif u * (2 - a - b) < 1 - b:
+            p[i], p[j], winner = 1.0, a + b - 1, j
+        else:
+            p[j], p[i], winner = 1.0, a + b - 1, i
+        if min(p[winner], 1 - p[winner]) < 1e-9:
+            p[winner] = round(p[winner])
+        undecided = winner if 0 < p[winner] < 1 else None
+    return p
+
+
+def sequential(spark, docs, blocks, fan_in, seed=mixing.SEED):
+    """(id, copies) of all documents, block by block and level by level, one after another."""
+    size, n = defaultdict(int), defaultdict(int)
+    for _, s, t in docs:
+        size[s] += len(t or "")
+        n[s] += 1
+    share = {s: v**mixing.TEMPERATURE for s, v in size.items()}
+    want = {s: sum(size.values()) * share[s] / sum(share.values()) / size[s] if size[s] else 1.0 for s in size}
+    hashed = spark.createDataFrame(docs, DOCS).selectExpr("doc_id", "source", "xxhash64(doc_id, source) as k", f"pmod(xxhash64(xxhash64(doc_id, source), {seed}), {blocks}) as block", "xxhash64(coalesce(source, ''), source is null) as s").collect()
+    live = [[r["k"], r["doc_id"], want[r["source"]] % 1, r["block"], r["s"], int(want[r["source"]])] for r in hashed]
+    copies, level = {}, 0
+    while True:
+        groups = defaultdict(list)
+        for x in live:
+            groups[x[4], x[3]].append(x)
+        live = []
+        for (s, block), own in groups.items():
+            own.sort(key=lambda x: x[:3])
+            draws = np.random.Generator(np.random.PCG64([seed, level, block, s & 0xFFFFFFFFFFFFFFFF])).random(len(own))
+            for x, f in zip(own, textbook([0.0 if x[2] < 1e-9 else 1.0 if x[2] > 1 - 1e-9 else x[2] for x in own], draws)):
+                if f in (0.0, 1.0):
+                    copies[x[1]] = x[5] + int(f)
+                else:
+                    live.append([*x[:2], f, x[3] // fan_in, *x[4:]])
+        if blocks == 1:
+            break
+        blocks, level = -(-blocks // fan_in), level + 1
+    if live:
+        last = spark.createDataFrame([(x[0], x[4], x[1]) for x in live], "k long, s long, id long").selectExpr("id", f"pmod(xxhash64(k, s, {seed + 1}), {1 << 30}) / {float(1 << 30)} as u").collect()
+        draw = {r["id"]: r["u"] for r in last}
+        for x in live:
+            copies[x[1]] = x[5] + (draw[x[1]] < x[2])
+    return copies
+
+
+@pytest.mark.parametrize(("blocks", "fan_in"), [(20_000, 64), (40, 3), (7, 2)])
+def test_against_a_sequential_twin_with_the_same_draws(spark, monkeypatch, blocks, fan_in):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", blocks)
+    monkeypatch.setattr(mixing, "FAN_IN", fan_in)
+    docs = [*corpus(400, seed=blocks), (1000, None, "no source"), (1001, "nothing", None), (1002, "nothing", "")]
+    got = {r["doc_id"]: r["copies"] for r in mixing.mix(spark.createDataFrame(docs, DOCS).repartition(5)).collect()}
+    assert got == sequential(spark, docs, -(-len(docs) // blocks), fan_in)
+
+
+def test_the_weight_of_no_source(spark):
+    docs = [(i, None if i < 10 else "a", "x" * 10) for i in range(40)]
+    copies = defaultdict(int)
+    for r in mixing.mix(spark.createDataFrame(docs, DOCS), weights={None: 0.5, "a": 0.5}).collect():
+        copies[r["source"]] += r["copies"]
+    assert copies == {None: 20, "a": 20}
+
+
+def test_documents_that_share_a_hash_stay_apart(spark, monkeypatch):
+    """All hashes made equal, documents of different ids or sources must still each come with their own copies."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing.F, "xxhash64", lambda *a: F.lit(5).cast("long"))
+    docs = [(1, "a", "x"), (2, "a", "x"), (None, "a", "x"), (1, "b", "x"), (1, None, "x")]
+    got = mixing.mixed_documents(spark.createDataFrame(docs, DOCS), temperature=1.0)
+    assert sorted(((r["doc_id"], r["source"], r["copies"]) for r in got.collect()), key=repr) == sorted(((i, s, 1) for i, s, _ in docs), key=repr)
+
+
 def test_expectations_over_seeds(spark):
     docs = spark.createDataFrame([(i, "a", "x" * 10) for i in range(12)], DOCS)
     drawn = np.zeros(12)
