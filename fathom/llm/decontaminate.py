@@ -1,23 +1,30 @@
 """Benchmark decontamination: an FM-index per training shard, searched backwards for test phrases.
 
-The test phrases are all runs of ``n`` words of the benchmark items (the whole item where it has fewer, but at least
-``least``). A shard is what a task has read, up to a bound. Its words become symbols; words that no test item has can't
-be part of an occurrence, so a run of them is one separator, and runs of test words shorter than any phrase go the same
-way. Over the rest stands the index: suffix array by prefix doubling, Burrows-Wheeler transform in a wavelet matrix with
-block ranks, and suffix positions sampled at every run's start and every 8th word. All phrases are searched at once,
-symbol by symbol from their end; occurrences are located by walking back to a sample, and overlapping or touching ones
-merge into the spans to remove.
+A shard is what a task has read, up to a bound. Its index is of all its words, whatever is going to be asked: the words
+become symbols, a separator stands behind each text, and over that stand a suffix array (prefix doubling, which sorts
+again only what is still undecided), its Burrows-Wheeler transform in a wavelet matrix with block ranks, and suffix
+positions sampled at every text's start and every 8th word. The suffix array itself goes.
+
+The test phrases are all runs of ``n`` words of the benchmark items (the whole item where it has fewer). All phrases are
+searched at once, symbol by symbol from their end; occurrences are located by walking back to a sample, and overlapping
+or touching ones merge into the spans to remove. ``shard_indexes`` stores the indexes, for any number of benchmarks.
+
+A benchmark of more than ``PASS_WORDS`` words doesn't go to the tasks at once: the indexes are then stored, every part of
+the benchmark searches them, and the spans of all parts merge before anything is cut. The result is that of one pass.
 
 Defined results
 - null or empty text: no span, kept by the stage. Null id: analysed like others, its spans have a null id.
-- repeated rows: each row has its own spans. Ties: the smallest item id names a span.
-- benchmark items with a null id or text, or fewer than ``least`` words: no phrase. No items: no span.
+- very long texts: whole; a text is never split, so a shard is as large as its longest text at least.
+- repeated rows: each row has its own spans. Ties: all items that have a phrase are named, in order.
+- benchmark items with a null id or text, or no words (or fewer than ``least``, for callers that want that): no phrase. An
+  item of fewer than ``n`` words is cut wherever it stands as a whole. No items: no span.
 - empty documents: empty result. Extra columns: ignored, kept by the stage.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -25,19 +32,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from fathom.llm.common import WORD, c, chunks, fresh, lowered, tokens
+from fathom.llm.common import WORD, c, chunks, cut, fresh, lowered, tokens
 
-N, LEAST, SAMPLE = 8, 5, 8
-SHARD_BYTES = 48 << 20
+N, LEAST, SAMPLE = 8, 1, 8
+SHARD_BYTES = 16 << 20
 #: Test words that one pass takes to the tasks (about 100 MB); a larger benchmark takes several passes.
 PASS_WORDS = 1_000_000
-#: A row's spans on their way from pass to pass, for Spark and for Arrow.
-HELD = ArrayType(StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("items", ArrayType(LongType()))]))
-_HELD = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("items", pa.list_(pa.int64()))]))
+Found = list[tuple[int, int, list[int]]]
 
 
 class Bits:
@@ -94,23 +100,40 @@ class Wavelet:
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffixes in order; zeros are separators, each different from all others and smaller than any word."""
+    """Suffixes in order; zeros are separators, each different from all others (the earlier is the smaller) and smaller than
+    any word. The last symbol is one."""
     n = len(s)
     zero = s == 0
-    key = np.where(zero, np.cumsum(zero) - 1, s.astype(np.int64) + int(zero.sum()))
-    k = 0
+    seps = int(zero.sum())
+    bits, sep_bits = int(s.max()).bit_length() or 1, seps.bit_length()
+    # at first as many symbols as a number holds; behind a separator the key has its number
+    deep = max(1, (62 - sep_bits) // bits)
+    key, open_, ordinal = np.zeros(n, np.int64), np.ones(n, bool), np.zeros(n, np.int64)
+    number = np.cumsum(zero)
+    for j in range(deep):
+        at = np.minimum(np.arange(j, n + j), n - 1)
+        here = np.where(open_, s[at], 0)
+        key = key << bits | here
+        ends = open_ & (here == 0)
+        ordinal[ends] = number[at[ends]]
+        open_ &= ~ends
+    key = key << sep_bits | ordinal
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        if new[-1] == n - 1:
+        undecided = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))
+        if not len(undecided):
             return order
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        k = max(1, 2 * k)
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - k] = rank[k:] + 1
-        key = rank * (n + 1) + nxt
+        own = order[undecided]  # has no separator within its first ``deep`` symbols
+        key = rank[own] << 31 | rank[own + deep]
+        by = np.argsort(key)
+        order[undecided], ordered = own[by], key[by]
+        new[undecided] = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        rank[order[undecided]] = np.maximum.accumulate(np.where(new[undecided], undecided, 0))
+        deep *= 2
 
 
 class FMIndex:
@@ -154,20 +177,17 @@ class FMIndex:
 
 
 class Phrases:
-    """Test phrases by length, as rows of symbols, and of each the items that hold it. Arrays throughout, about 100 bytes a
-    test word, as they go to every task."""
+    """Test phrases by length, as rows of word hashes, and of each the items that hold it. Arrays throughout, about 100 bytes
+    a test word, as they go to every task."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = N, least: int = LEAST) -> None:
         t = tokens([text for _, text in items])
         size = np.diff(t.first)
-        self.known = np.unique(t.hashes[np.repeat(size >= least, size)])
         rows: dict[int, list[np.ndarray]] = defaultdict(list)
         for k, (item, _) in enumerate(items):
-            if size[k] >= least:
-                s = self.symbols(t.hashes[t.first[k] : t.first[k + 1]])
-                m = min(n, len(s))
-                w = sliding_window_view(s, m)
-                rows[m].append(np.concatenate([w, np.full((len(w), 1), item)], axis=1))
+            if size[k] >= max(1, least):
+                w = sliding_window_view(t.hashes[t.first[k] : t.first[k + 1]], min(n, int(size[k])))
+                rows[w.shape[1]].append(np.concatenate([w, np.full((len(w), 1), item, np.int64).view(np.uint64)], axis=1))
         #: (phrases, where each one's items begin, items)
         self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for m in sorted(rows):
@@ -175,53 +195,49 @@ class Phrases:
             own = own[np.lexsort(own.T[::-1])]
             own = own[np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)])]
             new = np.concatenate([[True], (own[1:, :m] != own[:-1, :m]).any(axis=1)])
-            self.groups.append((own[new, :m], np.concatenate([np.flatnonzero(new), [len(own)]]), own[:, m]))
-        self.shortest = min(rows, default=0)
+            self.groups.append((own[new, :m], np.concatenate([np.flatnonzero(new), [len(own)]]), own[:, m].view(np.int64)))
 
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        """Words as symbols from 1, 0 for those that no item has."""
-        k = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[k] == hashes, k + 1, 0)
 
-    def occurrences(self, texts: pa.Array) -> list[list[tuple[int, int, list[int]]]]:
-        """For each text the (first word, end word, items) of every occurrence of a phrase."""
-        out: list[list] = [[] for _ in range(len(texts))]
-        if not self.groups:
-            return out
+class ShardIndex:
+    """The FM-index of all words of some texts, by their hashes."""
+
+    def __init__(self, texts: pa.Array) -> None:
         parts, sizes = [], []
         for _, _, chunk in chunks(texts):
             t = tokens(chunk)
-            # a separator after each text
-            parts.append(np.insert(self.symbols(t.hashes), t.first[1:], 0))
-            sizes.append(np.diff(t.first) + 1)
-        s = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        ends = np.cumsum(np.concatenate(sizes)) if sizes else np.zeros(0, np.int64)
-        edge = np.diff(np.concatenate([[0], (s > 0).view(np.int8), [0]]))
-        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        long = last - first >= self.shortest
-        first, last = first[long], last[long]
-        if not len(first):
+            parts.append(t.hashes)
+            sizes.append(np.diff(t.first))
+        #: of each text where it ends, its separator included
+        self.ends = np.cumsum(np.concatenate(sizes) + 1) if sizes else np.zeros(0, np.int64)
+        words, dense = np.unique(np.concatenate(parts), return_inverse=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.words, self.fm = words, None
+        if len(words):
+            s = np.zeros(self.ends[-1], np.int64)
+            is_word = np.ones(len(s), bool)
+            is_word[self.ends - 1] = False
+            s[is_word] = dense + 1
+            self.fm = FMIndex(s, len(words) + 1)
+
+    def occurrences(self, asked: Phrases) -> list[Found]:
+        """For each text the (first word, end word, items) of every occurrence of a phrase."""
+        out: list[Found] = [[] for _ in range(len(self.ends))]
+        if self.fm is None:
             return out
-        step = np.zeros(len(s) + 1, np.int8)
-        step[first] += 1
-        keep = np.cumsum(step[:-1]).astype(np.int64)
-        step[:] = 0
-        step[last + 1] += 1  # the separator after a run stays with it
-        kept = np.flatnonzero(keep - np.cumsum(step[:-1]))
-        index = FMIndex(s[kept], len(self.known) + 1)
-        for phrases, begin, items in self.groups:
-            lo, hi = index.search(phrases)
-            which = np.repeat(np.arange(len(phrases)), hi - lo)
+        begins = np.concatenate([[0], self.ends])
+        for phrases, begin, items in asked.groups:
+            k = np.minimum(np.searchsorted(self.words, phrases), len(self.words) - 1)
+            known = np.flatnonzero((self.words[k] == phrases).all(axis=1))  # a word the shard hasn't got can't be found
+            lo, hi = self.fm.search(k[known] + 1)
+            which = np.repeat(known, hi - lo)
             rows = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
-            at = kept[index.locate(rows)]
-            doc = np.searchsorted(ends, at, side="right")
-            at = at - np.concatenate([[0], ends])[doc]
-            for d, p, w in zip(doc.tolist(), at.tolist(), which.tolist()):
+            at = self.fm.locate(rows)
+            text = np.searchsorted(self.ends, at, side="right")
+            for d, p, w in zip(text.tolist(), (at - begins[text]).tolist(), which.tolist()):
                 out[d].append((p, p + phrases.shape[1], items[begin[w] : begin[w + 1]].tolist()))
         return out
 
 
-def merged(found: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, list[int]]]:
+def merged(found: Found) -> Found:
     """Overlapping and touching occurrences as spans."""
     spans: list[list] = []
     for a, b, items in sorted(found):
@@ -233,14 +249,18 @@ def merged(found: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, list
     return [(a, b, sorted(s)) for a, b, s in spans]
 
 
-def passes(benchmark: DataFrame, n: int, least: int, item_col: str = "item_id", text_col: str = "text") -> Iterator[Phrases]:
-    """The phrases of the benchmark, as many at a time as a task can hold."""
+def passes(benchmark: DataFrame, n: int, least: int, item_col: str = "item_id", text_col: str = "text") -> tuple[int, Iterator[Phrases]]:
+    """How many passes the benchmark takes, and the phrases of each, as many at a time as a task can hold."""
     own = benchmark.select(c(item_col).cast("long").alias("i"), c(text_col).cast("string").alias("t")).where("i is not null and t is not null")
     size = own.agg(F.sum(F.size(F.split("t", "\\s+")))).first()[0] or 0
     count = max(1, math.ceil(size / PASS_WORDS))
-    for k in range(count):
-        part = own if count == 1 else own.where(F.pmod(F.xxhash64("i"), F.lit(count)) == k)
-        yield Phrases([(r["i"], r["t"]) for r in part.collect()], n, least)
+
+    def each() -> Iterator[Phrases]:
+        for k in range(count):
+            part = own if count == 1 else own.where(F.pmod(F.xxhash64("i"), F.lit(count)) == k)
+            yield Phrases([(r["i"], r["t"]) for r in part.collect()], n, least)
+
+    return count, each()
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -255,29 +275,80 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def searched(docs: DataFrame, text_col: str, benchmark: DataFrame, n: int, least: int, schema: StructType | str, finish: Callable[[pa.Table, list[list[tuple]]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """What finish makes of a shard and its rows' spans. Every pass searches the texts as they came; the spans merged so
-    far go from pass to pass in a column of their own, so that however many passes there are, the spans are the same."""
-    at, every = docs.columns.index(text_col), list(passes(benchmark, n, least))
-    held = StructType([*docs.schema.fields, StructField(fresh(docs, "spans_"), HELD)])
-    for k, phrases in enumerate(every):
+def indexed(docs: DataFrame, text_col: str, shard: str, number: str, index: str) -> DataFrame:
+    """docs with three more columns: the row's shard, its number within, and on a shard's first row the shard's index."""
+    at = docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField(shard, LongType()), StructField(number, LongType()), StructField(index, BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, own in enumerate(shards(batches)):
+            if not own.num_rows:
+                continue
+            blob = pickle.dumps(ShardIndex(own.column(at).combine_chunks()))
+            own = own.append_column(shard, pa.array([first + k] * own.num_rows, pa.int64())).append_column(number, pa.array(range(own.num_rows), pa.int64()))
+            yield from own.append_column(index, pa.array([blob] + [None] * (own.num_rows - 1), pa.binary())).to_batches()
+
+    return docs.mapInArrow(run, schema)
+
+
+def shard_indexes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(shard, ids, index): one row a shard, to be stored and searched for any benchmark without the texts."""
+    own = docs.select(c(id_col).cast("long").alias("d"), c(text_col).cast("string").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, shard in enumerate(shards(batches)):
+            if shard.num_rows:
+                blob = pickle.dumps(ShardIndex(shard.column(1).combine_chunks()))
+                yield pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([shard.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([blob], pa.binary())], ["shard", "ids", "index"])
+
+    return own.mapInArrow(run, "shard long, ids array<long>, index binary")
+
+
+def search_indexes(indexes: DataFrame, benchmark: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
+    """(shard, number, id, start_word, end_word, items) of all occurrences in stored indexes, spans not merged over passes:
+    a row's spans of different passes may overlap."""
+    out = None
+    for phrases in passes(benchmark, n, least)[1]:
+
+        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for shard, ids, blob in zip(*(b.column(k).to_pylist() for k in range(3))):
+                    found = [(shard, k, None if ids is None else ids[k], x, y, items) for k, spans in enumerate(pickle.loads(blob).occurrences(phrases)) for x, y, items in merged(spans)]
+                    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], ["shard", "number", "id", "start_word", "end_word", "items"])
+
+        own = cut(indexes.mapInArrow(run, "shard long, number long, id long, start_word long, end_word long, items array<long>"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def searched(docs: DataFrame, text_col: str, benchmark: DataFrame, n: int, least: int, schema: StructType | str, finish: Callable[[pa.Table, list[Found]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What finish makes of rows and their merged spans."""
+    at = docs.columns.index(text_col)
+    count, each = passes(benchmark, n, least)
+    if count == 1:
+        phrases = next(each)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for own in shards(batches):
+                yield from finish(own, [merged(x) for x in ShardIndex(own.column(at).combine_chunks()).occurrences(phrases)])
+
+        return docs.mapInArrow(run, schema)
+    shard, number, index, spans = (fresh(docs, x) for x in ("shard_", "number_", "index_", "spans_"))
+    held = cut(indexed(docs, text_col, shard, number, index))
+    stored = held.where(c(index).isNotNull()).select(c(shard).alias("shard"), F.lit(None).cast("array<long>").alias("ids"), c(index).alias("index"))
+    found = search_indexes(stored, benchmark, n, least).groupBy(F.col("shard").alias(shard), F.col("number").alias(number))
+    found = found.agg(F.collect_list(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"), "items")).alias(spans))
 
-        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases, first: bool = k == 0, last: bool = k == len(every) - 1) -> Iterator[pa.RecordBatch]:
-            for shard in shards(batches):
-                found = phrases.occurrences(shard.column(at).combine_chunks())
-                if not first:
-                    before = shard.column(shard.num_columns - 1).to_pylist()
-                    shard = shard.remove_column(shard.num_columns - 1)
-                    found = [[(x["a"], x["b"], x["items"]) for x in was] + new for was, new in zip(before, found)]
-                spans = [merged(x) for x in found]
-                if last:
-                    yield from finish(shard, spans)
-                else:
-                    column = pa.array([[{"a": a, "b": b, "items": items} for a, b, items in x] for x in spans], _HELD)
-                    yield from shard.append_column(held.fields[-1].name, column).to_batches()
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            was = b.column(b.num_columns - 1).to_pylist()
+            own = pa.Table.from_batches([b]).remove_column(b.num_columns - 1)
+            yield from finish(own, [merged([(x["a"], x["b"], x["items"]) for x in row or []]) for row in was])
 
-        docs = docs.mapInArrow(run, schema if k == len(every) - 1 else held)
-    return docs
+    return held.join(found, [shard, number], "left").select(*[c(x) for x in docs.columns], c(spans)).mapInArrow(last, schema)
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,7 +356,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, least:
     own = docs.select(c(id_col).cast("long").alias("d"), c(text_col).cast("string").alias("t"))
     schema = f"`{id_col}` long, start_word long, end_word long, start_char long, end_char long, items array<long>"
 
-    def finish(shard: pa.Table, spans: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+    def finish(shard: pa.Table, spans: list[Found]) -> Iterator[pa.RecordBatch]:
         ids, texts, rows = shard.column(0), shard.column(1), []
         for k, found in enumerate(spans):
             if found:
@@ -309,7 +380,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int
     """docs with the spans cut from their texts and one more column, contaminated: whether any was."""
     at, flag = docs.columns.index(text_col), fresh(docs, "contaminated")
 
-    def finish(shard: pa.Table, spans: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+    def finish(shard: pa.Table, spans: list[Found]) -> Iterator[pa.RecordBatch]:
         texts = shard.column(at).combine_chunks()
         hit, cleaned = np.zeros(len(texts), bool), []
         for k, found in enumerate(spans):
@@ -324,7 +395,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int
     return searched(docs, text_col, benchmark, n, least, docs.withColumn(flag, F.lit(False)).schema, finish)
 
 
-#: The merged spans by plain n-gram joins, for items of at least N words (all that the given benchmark has).
+#: The merged spans by plain n-gram joins, for items of at least N words (all that the given benchmark has); places of
+#: characters from the lengths of a text's words and of what lies between.
 SQL = f"""
 with dw as (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') as w from documents),
 bw as (select item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') as w from benchmark),
@@ -334,7 +406,20 @@ o as (
   select doc_id, i - 1 as a, item_id from (select doc_id, i, array_to_string(w[i:i+{N - 1}], ' ') as g
     from (select doc_id, w, unnest(range(1, len(w) - {N - 2})) as i from dw where len(w) >= {N})) join bi using (g)
 ), p as (select doc_id, a, item_id, max(a) over (partition by doc_id order by a rows between unbounded preceding and 1 preceding) as prev from o),
-s as (select *, sum(case when prev is null or a > prev + {N} then 1 else 0 end) over (partition by doc_id order by a rows unbounded preceding) as isle from p)
-select doc_id, min(a)::bigint as start_word, max(a)::bigint + {N} as end_word, min(item_id) as first_item, count(distinct item_id)::bigint as n_items
-from s group by doc_id, isle
+s as (select *, sum(case when prev is null or a > prev + {N} then 1 else 0 end) over (partition by doc_id order by a rows unbounded preceding) as isle from p),
+f as (
+  select doc_id, min(a)::bigint as start_word, max(a)::bigint + {N} as end_word, array_to_string(list_sort(list(distinct item_id)), ',') as items, count(distinct item_id)::bigint as n_items
+  from s group by doc_id, isle
+),
+pc as (
+  select doc_id, unnest(x) as piece, generate_subscripts(x, 1) as i
+  from (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') as x from documents where doc_id in (select doc_id from f))
+),
+pl as (
+  select doc_id, b - length(piece) as a, b, row_number() over (partition by doc_id order by a) - 1 as word
+  from (select doc_id, piece, sum(length(piece)) over (partition by doc_id order by i) as b, sum(length(piece)) over (partition by doc_id order by i) - length(piece) as a from pc)
+  where regexp_matches(piece, '^[\\p{{L}}\\p{{N}}_]')
+)
+select f.doc_id, start_word, end_word, x.a::bigint as start_char, y.b::bigint as end_char, items, n_items
+from f join pl x on x.doc_id = f.doc_id and x.word = start_word join pl y on y.doc_id = f.doc_id and y.word = end_word - 1
 """

@@ -36,7 +36,7 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _decontaminate.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return spans.select("doc_id", "start_word", "end_word", F.get("items", F.lit(0)).alias("first_item"), F.size("items").cast("long").alias("n_items"))
+    return spans.withColumns({"items": F.array_join("items", ","), "n_items": F.size("items").cast("long")})
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

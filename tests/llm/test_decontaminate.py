@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pickle
 import random
 
 import numpy as np
@@ -17,7 +18,7 @@ def brute_force(items, texts, n, least):
     phrases = {}
     for i, t in items:
         w = words(t)
-        if i is not None and len(w) >= least:
+        if i is not None and len(w) >= max(1, least):
             m = min(n, len(w))
             for j in range(len(w) - m + 1):
                 phrases.setdefault(tuple(w[j : j + m]), set()).add(i)
@@ -34,7 +35,9 @@ def test_occurrences_against_brute_force(seed):
     v = [f"w{i}" for i in range(rng.choice([2, 6, 40]))]
     items = [(i, " ".join(rng.choice(v) for _ in range(rng.randint(0, 14)))) for i in range(6)]
     texts = [None, "", "..."] + [" ".join(rng.choice([*v, "other"]) for _ in range(rng.randint(0, 300))) for _ in range(8)] + [f"{items[3][1]}. {items[4][1]}"] * 2 + [" ".join(v[:1] * 400)]
-    assert [sorted(x) for x in D.Phrases(items, 6, 3).occurrences(pa.array(texts))] == brute_force(items, texts, 6, 3)
+    index = pickle.loads(pickle.dumps(D.ShardIndex(pa.array(texts))))  # as it's stored
+    for n, least in ((6, 3), (1, 1), (8, 1)):
+        assert [sorted(x) for x in index.occurrences(D.Phrases(items, n, least))] == brute_force(items, texts, n, least)
 
 
 def test_parts_of_the_index_against_brute_force():
@@ -77,7 +80,7 @@ def test_large_benchmarks_take_several_passes(spark, monkeypatch):
     docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)
     once = rows(D.decontaminate(docs, bench))
     monkeypatch.setattr(D, "PASS_WORDS", 60)
-    assert len(list(D.passes(bench, 8, 5))) == 4
+    assert D.passes(bench, 8, 5)[0] == 4
     assert rows(D.decontaminate(docs, bench)) == once and all(r[2] for r in once)
 
 
@@ -92,20 +95,38 @@ def test_passes_agree_with_one_pass_where_their_items_overlap(spark, monkeypatch
     docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)
     once = [rows(f(docs, bench)) for f in (D.contaminated_spans, D.decontaminate)]
     monkeypatch.setattr(D, "PASS_WORDS", 30)
-    assert len(list(D.passes(bench, 8, 5))) > 3
+    assert D.passes(bench, 8, 5)[0] > 3
     assert [rows(f(docs, bench)) for f in (D.contaminated_spans, D.decontaminate)] == once
 
 
-def test_shards_of_several_batches_and_small_ones(spark, monkeypatch):
+@pytest.mark.parametrize("words", [1_000_000, 5])
+def test_shards_of_several_batches_and_small_ones(spark, monkeypatch, words):
     item = "one two three four five six seven eight nine"
-    docs = spark.createDataFrame([(i, f"x{i} {item} y") for i in range(50)], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, item)], ITEMS)
-    assert D.contaminated_spans(docs, bench).count() == 50
+    docs = spark.createDataFrame([(i, f"x{i} {item} y") for i in range(50)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, item), (2, "x7 one two"), (3, "zzz")], ITEMS)
+    monkeypatch.setattr(D, "PASS_WORDS", words)
+    want = [(i, 0 if i == 7 else 1, 10, [1, 2] if i == 7 else [1]) for i in range(50)]
+    for size in (1, 700, 16 << 20):  # a shard a batch, several batches a shard, one shard a task
+        monkeypatch.setattr(D, "SHARD_BYTES", size)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+        try:
+            assert rows(D.contaminated_spans(docs, bench).select("doc_id", "start_word", "end_word", "items")) == sorted(want, key=repr)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_stored_indexes_answer_another_benchmark_without_the_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c d e f{i % 3} g") for i in range(30)] + [(None, "c d e"), (40, None)], "doc_id long, text string")
+    D.shard_indexes(docs.repartition(2)).write.parquet(str(tmp_path / "indexes"))
+    stored = spark.read.parquet(str(tmp_path / "indexes"))
+    one, two = spark.createDataFrame([(1, "c d e f2")], ITEMS), spark.createDataFrame([(2, "B4 c"), (3, "zzz c")], ITEMS)
+    assert sorted(r["id"] for r in D.search_indexes(stored, one).collect()) == list(range(2, 30, 3))
+    assert [(r["id"], r["start_word"], r["end_word"], r["items"]) for r in D.search_indexes(stored, two).collect()] == [(4, 1, 3, [2])]
 
 
 @pytest.mark.parametrize("clashing", [False, True])
 def test_hostile_documents(spark, clashing):
-    bench = spark.createDataFrame([(1, "Plain text about nothing much, in one line."), (2, None), (None, "a document without an id at all here now"), (3, "short"), (4, ""), (9, LONG)], ITEMS)
+    bench = spark.createDataFrame([(1, "Plain text about nothing much, in one line."), (2, None), (None, "a document without an id at all here now"), (3, "shortest"), (4, ""), (9, LONG)], ITEMS)
     df = hostile(spark, clashing)
     found = sorted({(r["doc_id"], r["start_word"], r["end_word"]) for r in D.contaminated_spans(df, bench).collect()}, key=repr)
     assert found == [(1, 0, 8), (5, 0, 120_000)]
