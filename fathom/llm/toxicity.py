@@ -1,14 +1,18 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-A bounded sample of labelled documents (``max_positive`` + ``max_negative``, chosen by hash) is split in three: one
-part yields a learned lexicon (words and word beginnings that mark toxic documents), one fits the trees, one the
-calibration. Every document is then scored over its whole text.
+A bounded sample of labelled documents (``max_positive`` + ``max_negative`` of those that are there, chosen by hash) is
+split in three: one part yields a learned lexicon (all words and word beginnings that mark toxic documents), one fits the
+trees, one the calibration. Every document is then scored over its whole text.
 
 Defined results
 - null or empty text: no words, so every density is 0; scored like any other row (never toxic unless labels say so).
 - null id: scored, with a null id in the result. Repeated rows: one result row for each row.
-- no labels, or one class only: a model that calls nothing toxic (probability = share of toxic labels, or 0).
-- an id with several labels: toxic if any of them is 1; null labels and ids are ignored.
+- very long texts: whole, like others. They weigh in features as rates, and as logarithms of counts.
+- no labels, or one class only: a model that gives every document the one class (not toxic, where there is none).
+- an id with several labels: toxic if any of them is 1; null labels and ids are ignored, and so are labels of documents that
+  aren't there. Of several texts with one id, the least in order is learned from; each is scored.
+- held-back labels of one class only: no calibration, a probability is the logistic function of the score.
+- ties: of splits that gain the same, the first feature's lowest; a probability of exactly ``threshold`` is toxic.
 - empty documents: an empty result. Extra columns are ignored.
 """
 
@@ -41,6 +45,8 @@ FEATURES = (
 )
 _PUNCT = np.array([(33 <= b <= 47) or (58 <= b <= 64) or (91 <= b <= 96) or (123 <= b <= 126) for b in range(256)])
 _SIGN = np.array([chr(b) in "0123456789@$!*" for b in range(128)])
+#: Gains closer than this are ties: sums in another order differ by less.
+TIE = 1e-9
 #: How many words a window of window_hits has.
 WINDOW = 50
 
@@ -116,8 +122,8 @@ def feature_rows(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
     words_, chars = np.maximum(n, 1), np.maximum(np.diff(s.starts) - 1, 1)
     out[:] = np.stack(
         [
-            per(insult.nonzero()[0]) / words_, np.minimum(per(insult.nonzero()[0]), 50), per(learned) / words_, np.minimum(per(learned), 50), per(learned, v) / words_,
-            best(learned, v[learned]), np.minimum(np.bincount(seen, minlength=k), 50), near, per(you) / words_, n_upper / np.maximum(n_upper + sums(lower), 1),
+            per(insult.nonzero()[0]) / words_, np.log1p(per(insult.nonzero()[0])), per(learned) / words_, np.log1p(per(learned)), per(learned, v) / words_,
+            best(learned, v[learned]), np.log1p(np.bincount(seen, minlength=k)), near, per(you) / words_, n_upper / np.maximum(n_upper + sums(lower), 1),
             per(shout) / words_, sums(x == 33) / chars, sums(punct) / chars, np.bincount(np.searchsorted(s.starts, hidden, side="right") - 1, minlength=k) / words_,
             np.log1p(n), best(at, span.astype(np.float64)),
         ],
@@ -194,9 +200,9 @@ def fit_trees(x: np.ndarray, y: np.ndarray, n_trees: int = 60, depth: int = 3, r
                     gl, hl, nl = (np.cumsum(np.bincount(b, w, m))[:-1] for w in (g[own], h[own], None))
                     score = gl**2 / (hl + l2) + (G - gl) ** 2 / (H - hl + l2) - G**2 / (H + l2)
                     score[(nl < least) | (len(own) - nl < least)] = -1
-                    i = int(score.argmax())
-                    if score[i] > gain:
-                        best, gain = (j, i), score[i]
+                    if not len(score) or (most := score.max()) <= gain + TIE:
+                        continue
+                    best, gain = (j, int(np.flatnonzero(score >= most - TIE)[0])), most
             right = np.zeros(len(own), np.int64)
             if best:
                 f[k], t[k] = best[0], zero[best[0]][best[1]]
@@ -251,11 +257,12 @@ def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64)), pa.array(a), pa.array(both - a)], ["n", "h", "a", "b"])
 
 
-def learned_lexicon(train: DataFrame, n_toxic: int, n_clean: int, least: int = 3, ratio: float = 12.0, size: int = 4000) -> dict[tuple[int, int], float]:
-    """Units whose document frequency among toxic documents is ``ratio`` times that among the others (log odds)."""
+def learned_lexicon(train: DataFrame, n_toxic: int, n_clean: int, least: int = 3, ratio: float = 12.0) -> dict[tuple[int, int], float]:
+    """All units whose document frequency among toxic documents is ``ratio`` times that among the others (log odds). They
+    are units of the sample's toxic documents, so the sample bounds how many."""
     n = train.select("text", "toxic").mapInArrow(_count_units, "n int, h long, a long, b long").groupBy("n", "h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     weight = F.log((F.col("a") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("b") + 0.5) / (n_clean + 1.0))
-    rows = n.where(F.col("a") >= least).select("n", "h", weight.alias("w")).where(F.col("w") >= float(np.log(ratio))).orderBy(F.desc("w"), "n", "h").limit(size).collect()
+    rows = n.where(F.col("a") >= least).select("n", "h", weight.alias("w")).where(F.col("w") >= float(np.log(ratio))).collect()
     return {(r["n"], r["h"]): float(r["w"]) for r in rows}
 
 
@@ -269,11 +276,13 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 4000, max_negative: int = 8000) -> Model:
     """Fits on at most ``max_positive`` + ``max_negative`` labelled documents, those whose id hashes lowest."""
     lab = labels.select(c(id_col).cast("long").alias("id"), c(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    lot = lab.withColumn("lot", F.xxhash64("id", F.lit(11)))
+    own = docs.select(c(id_col).cast("long").alias("id"), c(text_col).cast("string").alias("text"))
+    # a label counts for the sample only if its document is there
+    lot = lab.join(own.select("id"), "id", "left_semi").withColumn("lot", F.xxhash64("id", F.lit(11)))
     chosen = lot.where("toxic = 1").orderBy("lot", "id").limit(max_positive).unionByName(lot.where("toxic = 0").orderBy("lot", "id").limit(max_negative))
     # at most max_positive + max_negative rows of three numbers: a bound of its own, whatever the tables hold
-    own = docs.select(c(id_col).cast("long").alias("id"), c(text_col).cast("string").alias("text"))
-    train = cut(own.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("text", "toxic", F.pmod(F.xxhash64("id", F.lit(12)), F.lit(10)).alias("fold")))
+    met = own.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    train = cut(met.select("text", "toxic", F.pmod(F.xxhash64("id", F.lit(12)), F.lit(10)).alias("fold")))
     size = {(r["toxic"], r["first"]): r["n"] for r in train.groupBy("toxic", (F.col("fold") < 5).alias("first")).agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = (sum(size.get((k, f), 0) for f in (True, False)) for k in (1, 0))
     if not n_toxic or not n_clean:
@@ -292,8 +301,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     x, y, fold = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float), np.array([r["fold"] for r in got])
     trees = fit_trees(x[fold < 8], y[fold < 8]) if (fold < 8).any() else Trees()
     held = fold >= 8
-    if not held.any() or y[held].min() == y[held].max():
-        held = fold >= 5  # too few labels to hold any back
     if len(trees.feature) and held.any() and y[held].min() < y[held].max():
         trees.iso_x, trees.iso_y = isotonic(trees.raw(x[held]), y[held], prior=n_toxic / (n_toxic + n_clean), strength=4.0)
     return Model(lexicon, trees, n_toxic + n_clean)
