@@ -4,17 +4,22 @@ Each stage takes what its predecessor kept, as written and read again, and its d
 lines that many different texts share go from all but one of them, one document of each group of near copies stays, passages of the
 benchmark are cut out, and the sources are mixed. All stages but the last return the columns of documents; the last adds
 ``copies``, how often a document is to be seen, and leaves out those that aren't drawn.
+
+Defined results
+- null or empty text: never toxic unless labels say so, without lines, copies or spans; it goes through all stages.
+- null id: goes through; it counts for no line's documents and is never a copy. Null source: a source of its own.
+- very long texts: whole in every stage. Ties: of copies the smallest id stays.
+- repeated rows, and rows of one id with similar texts: one of them stays after near-dedup. Empty tables: an empty result.
+- further columns of documents, whatever their names, stay as they are; ``n_chars`` is the text's new length.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import decontaminate, line_dedup, minhash, mixing, toxicity
-from fathom.llm.common import checkpoint_dir, table
+from fathom.llm.common import delete, scratch, table
 
 
 def _as_documents(edited: DataFrame, docs: DataFrame) -> DataFrame:
@@ -56,10 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written to the shared folder and read again."""
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4()}"
+    """All stages over documents, each one's result written to the shared folder and read again. What the next stage has
+    read goes at once, the last result when the driver ends."""
+    folder = scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
     return docs
