@@ -13,9 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.sources.shared import checkpoint_dir, cut, delete, scratch, table
+from fathom.sources.shared import cut, delete, exists, qualified, scratch, table
 
-__all__ = ["checkpoint_dir", "cut", "delete", "scratch", "table"]
+__all__ = ["cut", "delete", "exists", "qualified", "scratch", "table"]
 
 #: A word: a run of letters, digits and underscores, in lower case.
 WORD = re.compile(r"\w+")
