@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fathom.llm import minhash
 from tests.llm.hostile import ROWS, SCHEMA, empty, hostile, rows
@@ -111,6 +112,21 @@ def test_hostile_documents(spark, clashing):
     assert ids == sorted([1, 2, 3, 4, None, 5, 6, 7, 8], key=repr)  # the repeated row once, of the tie the smaller id
 
 
+def test_the_stage_drops_no_text_that_is_unlike_all_others(spark):
+    """Of rows that share an id, or have no words, only copies go."""
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    docs = [(1, near, "b"), (1, near, "a"), (1, "something else altogether, by the same id", "c"), (2, f"{near} fifteen", "d"), (3, "words of its own", "e"), (3, None, "f"), (3, None, "f"), (4, "", "g"), (4, "", "g"), (4, "...", "h"), (None, near, "i"), (None, near, "i")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, more string").withColumns({"day": F.lit("2020-01-01").cast("date"), "many": F.array(F.col("more"))})
+    got = sorted((r[:3] for r in minhash.drop_near_duplicates(df).collect()), key=repr)
+    assert got == sorted((d for d in docs if d not in ((1, near, "b"), (2, f"{near} fifteen", "d"))), key=repr)
+
+
+def test_a_node_of_very_many_neighbours(spark):
+    edges = spark.range(1, 100_001).selectExpr("0 as a", "id as b").unionByName(spark.range(1, 100_000).where("id % 10 = 0").selectExpr("id as a", "id + 1 as b"))
+    got = minhash.components(edges)
+    assert got.count() == 100_001 and got.where("comp <> 0").count() == 0
+
+
 def test_empty_table(spark):
     assert rows(minhash.near_duplicate_groups(empty(spark))) == []
     assert rows(minhash.drop_near_duplicates(empty(spark))) == []
