@@ -206,13 +206,14 @@ def repeats(x: Level) -> tuple[np.ndarray, ...]:
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(c(id_col).cast("long").alias("d"), c(text_col).cast("string").alias("t")).where("d is not null and t is not null")
+    text = c(text_col).cast("string")
+    return docs.select(c(id_col).cast("long").alias("d"), text.alias("t"), F.xxhash64(text).alias("x")).where("d is not null and t is not null")
 
 
-_SNIPPET = "route long, d long, first long, words binary"
+_SNIPPET = "route long, d long, x long, first long, words binary"
 
 
-def _snippets(t: Tokens, ids: np.ndarray, key: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray, hot: np.ndarray, length: int) -> pa.RecordBatch:
+def _snippets(t: Tokens, ids: np.ndarray, hashes: np.ndarray, key: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray, hot: np.ndarray, length: int) -> pa.RecordBatch:
     """One row an anchor, or for hot ones one a window, by the hash of the whole window."""
     if hot.any():
         n = np.where(hot, last - first + 1, 1)
@@ -227,33 +228,33 @@ def _snippets(t: Tokens, ids: np.ndarray, key: np.ndarray, text: np.ndarray, fir
             key = key.copy()
             key[hot] = whole.view(np.int64)
     w = (t.hashes >> np.uint64(32)).astype(np.uint32)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[text]), pa.array(first - t.first[text]), pa.array([w[x : y + length].tobytes() for x, y in zip(first, last)], pa.binary())], ["route", "d", "first", "words"])
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[text]), pa.array(hashes[text]), pa.array(first - t.first[text]), pa.array([w[x : y + length].tobytes() for x, y in zip(first, last)], pa.binary())], ["route", "d", "x", "first", "words"])
 
 
 def _numbered(cuttings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(route, s1, s2, d, first) of all occurrences, and (route, s1, s2, words, low, high) of distinct snippets, told apart by
+    """(route, s1, s2, d, x, first) of all occurrences, and (route, s1, s2, words, low, high) of distinct snippets, told apart by
     their words; s1 and s2 are 96 bits of them, on top of the route's 64."""
     held = cut(cuttings)
     named = held.withColumns({"s1": F.xxhash64("words"), "s2": F.hash("words")})
     distinct = held.groupBy("route", "words").agg(F.min("d").alias("low"), F.max("d").alias("high"))
-    return named.select("route", "s1", "s2", "d", "first"), distinct.select("route", F.xxhash64("words").alias("s1"), F.hash("words").alias("s2"), "words", "low", "high")
+    return named.select("route", "s1", "s2", "d", "x", "first"), distinct.select("route", F.xxhash64("words").alias("s1"), F.hash("words").alias("s2"), "words", "low", "high")
 
 
 def _placed(occurrences: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """(d, s, e, low, high) of the occurrences of found stretches (route, s1, s2, a, b, low, high)."""
-    return occurrences.join(found, ["route", "s1", "s2"]).select("d", (F.col("first") + F.col("a")).alias("s"), (F.col("first") + F.col("b") + length).alias("e"), "low", "high")
+    """(d, x, s, e, low, high) of the occurrences of found stretches (route, s1, s2, a, b, low, high)."""
+    return occurrences.join(found, ["route", "s1", "s2"]).select("d", "x", (F.col("first") + F.col("a")).alias("s"), (F.col("first") + F.col("b") + length).alias("e"), "low", "high")
 
 
-def _united(spans: DataFrame, id_col: str) -> DataFrame:
-    """Spans (d, s, e, o) that overlap or touch as one each: (id, start_word, end_word, other_doc)."""
-    by = Window.partitionBy("d").orderBy("s", "e")
+def _united(spans: DataFrame, *by_: str) -> DataFrame:
+    """Spans (by, s, e, o) that overlap or touch as one each: (by, start_word, end_word, other_doc)."""
+    by = Window.partitionBy(*by_).orderBy("s", "e")
     before = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
     isle = F.sum(F.when(before.isNull() | (F.col("s") > before), 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0))
     return (
         spans.withColumn("isle", isle)
-        .groupBy("d", "isle")
+        .groupBy(*by_, "isle")
         .agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min("o").alias("other_doc"))
-        .select(F.col("d").alias(id_col), "start_word", "end_word", "other_doc")
+        .drop("isle")
     )
 
 
@@ -262,7 +263,8 @@ def _other() -> Column:
 
 
 def shared_windows(docs: DataFrame, length: int, gram: int, batch_words: int, hot: int, id_col: str, text_col: str) -> DataFrame:
-    """(d, s, e, low, high): stretches of windows that several documents have, and the smallest and largest of these."""
+    """(d, x, s, e, low, high): stretches of windows that several documents have, and the smallest and largest of these; x is
+    a hash of the row's text."""
     own = _own(docs, id_col, text_col)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +295,7 @@ def shared_windows(docs: DataFrame, length: int, gram: int, batch_words: int, ho
 
                 keep = among(2, key, text)
                 key, text, first, last = key[keep], text[keep], first[keep], last[keep]
-                yield _snippets(t, ids[begin:end], key, text, first, last, among(3, key, text), length)
+                yield _snippets(t, ids[begin:end], b.column(4).to_numpy(zero_copy_only=False)[begin:end], key, text, first, last, among(3, key, text), length)
 
     def family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, held, size, names = Family(length), [], 0, []
@@ -312,7 +314,7 @@ def shared_windows(docs: DataFrame, length: int, gram: int, batch_words: int, ho
             owner, *found = repeats(level)
             yield pa.RecordBatch.from_arrays([pa.array(n[owner]) for n in named] + [pa.array(x) for x in found], ["route", "s1", "s2", "a", "b", "low", "high"])
 
-    cuttings = own.join(wanted, "d").select("d", "t", "keys", "hot").mapInArrow(snippets, _SNIPPET)
+    cuttings = own.join(wanted, "d").select("d", "t", "keys", "hot", "x").mapInArrow(snippets, _SNIPPET)
     occurrences, distinct = _numbered(cuttings)
     parts = shuffle_partitions(docs.sparkSession) * 2
     found = distinct.repartition(parts, "route").mapInArrow(family, "route long, s1 long, s2 long, a long, b long, low long, high long").withColumn("s2", F.col("s2").cast("int"))
@@ -322,14 +324,15 @@ def shared_windows(docs: DataFrame, length: int, gram: int, batch_words: int, ho
 def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_words: int = BATCH_WORDS, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, other_doc) of every passage shared with another document, one row a span."""
     spans = shared_windows(docs, length, gram, batch_words, hot, id_col, text_col)
-    return _united(spans.select("d", "s", "e", _other().alias("o")), id_col)
+    return _united(spans.select("d", "s", "e", _other().alias("o")), "d").withColumnRenamed("d", id_col)
 
 
 def drop_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the passages that a document of a smaller id has too: each passage stays in one document."""
-    spans = shared_windows(docs, length, gram, BATCH_WORDS, HOT, id_col, text_col).where("d <> low").select("d", "s", "e", F.col("low").alias("o"))
-    key, cuts = fresh(docs, "key_"), fresh(docs, "cuts_")
-    own = _united(spans, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(cuts))
+    spans = shared_windows(docs, length, gram, BATCH_WORDS, HOT, id_col, text_col).where("d <> low").select("d", "x", "s", "e", F.col("low").alias("o"))
+    key, key2, cuts = fresh(docs, "key_"), fresh(docs, "key2_"), fresh(docs, "cuts_")
+    # of rows that share an id each has its own spans
+    own = _united(spans, "d", "x").groupBy(F.col("d").alias(key), F.col("x").alias(key2)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(cuts))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,8 +341,7 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
             for k, spans in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 text = texts[k].as_py() if spans else None
                 place = [m.span() for m in WORD.finditer(lowered(text))] if text else []
-                # of rows that share an id, a shorter one hasn't all of their spans
-                found = [(place[x["start_word"]][0], place[min(x["end_word"], len(place)) - 1][1]) for x in spans or [] if x["start_word"] < len(place)]
+                found = [(place[x["start_word"]][0], place[x["end_word"] - 1][1]) for x in spans or []]
                 if found:
                     ends = [0, *(e for _, e in found)]
                     hit[k] = True
@@ -347,7 +349,8 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
             out = pc.replace_with_mask(texts, pa.array(hit), pa.array(new, texts.type))
             yield pa.RecordBatch.from_arrays([out if j == at else b.column(j) for j in range(b.num_columns - 1)], b.schema.names[:-1])
 
-    return docs.join(own, c(id_col) == c(key), "left").drop(key).mapInArrow(run, docs.schema)
+    met = docs.join(own, (c(id_col) == c(key)) & (F.xxhash64(c(text_col)) == c(key2)), "left")
+    return met.select(*[c(x) for x in docs.columns], c(cuts)).mapInArrow(run, docs.schema)
 
 
 class StoredFamily:
@@ -380,7 +383,7 @@ class StoredFamily:
                 for begin, end, texts in chunks(b.column(1)):
                     t = tokens(texts)
                     key, text, first, last = anchors(t, length, gram)
-                    yield _snippets(t, ids[begin:end], key, text, first, last, np.zeros(len(key), bool), length)
+                    yield _snippets(t, ids[begin:end], b.column(2).to_numpy(zero_copy_only=False)[begin:end], key, text, first, last, np.zeros(len(key), bool), length)
 
         def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket, held, names = None, [], []
@@ -432,7 +435,7 @@ class StoredFamily:
         count = self.spark.read.parquet(f"{self.path}/names").agg(F.max("batch")).first()[0] + 1 if was else 0
         self.spark.createDataFrame([(count, json.dumps(now))], "batch long, levels string").coalesce(1).write.mode("append").parquet(f"{self.path}/names")
         found = done.select(F.explode(F.arrays_zip(*fields)).alias("x")).select("x.*").withColumn("s2", F.col("s2").cast("int"))
-        return _united(_placed(occurrences, found, length).select("d", "s", "e", _other().alias("o")), id_col)
+        return _united(_placed(occurrences, found, length).select("d", "s", "e", _other().alias("o")), "d").withColumnRenamed("d", id_col)
 
 
 #: The same by comparing all windows as text.
