@@ -80,8 +80,9 @@ def line_dedup(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_chars: i
         .select(F.col("k").alias(key), F.col("k2").alias(key2), F.col("places").alias(places))
     )
     return (
-        docs.withColumns({key: F.xxhash64(c(text_col)), key2: F.hash(c(text_col)), lines: F.split(c(text_col), "\n", -1)})
+        docs.withColumns({key: F.xxhash64(c(text_col)), key2: F.hash(c(text_col))})
         .join(gone, [key, key2], "left")
+        .withColumn(lines, F.split(c(text_col), "\n", -1))
         .select(
             *[F.when(c(places).isNull(), c(text_col)).otherwise(F.array_join(between(c(lines), c(places)), "\n")).alias(n) if n == text_col else c(n) for n in docs.columns],
             F.when(c(text_col).isNull(), 0).otherwise(F.size(c(lines))).cast("long").alias(fresh(docs, "lines_in")),
