@@ -1,7 +1,8 @@
 """Cursors of keyset pagination, as short strings.
 
 25 bytes, big-endian: a tag, eight bytes for the key, sixteen for the record's uuid; base64 for URLs without padding.
-Tag 0 is a relevance (single precision, behind four zero bytes), 1 an unsigned integer, 2 a double.
+Tag 0 is a relevance (single precision, behind four zero bytes), 1 the 64 bits of an integer, 2 a double. A signed integer
+that is negative is read back as unsigned; ``signed`` turns it back.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ import struct
 import uuid
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 RELEVANCE, INTEGER, DOUBLE = 0, 1, 2
 _SIZE = 25
 
@@ -28,6 +32,17 @@ class CursorMismatch(ValueError):
     """A cursor of another sort."""
 
 
+def signed(value: int) -> int:
+    """The signed integer of the same 64 bits."""
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
+def integer_cursors(key: Column, uuid_: Column) -> Column:
+    """What ``Cursor(INTEGER, key, uuid).encode()`` gives, for whole columns."""
+    raw = F.unhex(F.concat(F.lit("01"), F.lpad(F.hex(key.cast("long")), 16, "0"), F.regexp_replace(uuid_, "-", "")))
+    return F.rtrim(F.translate(F.base64(raw), "+/", "-_"), F.lit("="))
+
+
 @dataclass(frozen=True)
 class Cursor:
     tag: int
@@ -38,7 +53,9 @@ class Cursor:
         if self.tag == RELEVANCE:
             key = struct.pack(">4xf", self.value)
         elif self.tag == INTEGER:
-            key = struct.pack(">Q", self.value)
+            if not -(1 << 63) <= self.value < 1 << 64:
+                raise InvalidCursor(f"{self.value} doesn't fit 64 bits")
+            key = struct.pack(">Q", self.value & 0xFFFFFFFFFFFFFFFF)
         elif self.tag == DOUBLE:
             key = struct.pack(">d", self.value)
         else:

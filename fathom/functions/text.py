@@ -1,11 +1,18 @@
-"""Text analysis as column expressions: they stay within the JVM."""
+"""Text analysis: column expressions that stay within the JVM, and documents turned over for an index."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
+# letters and digits only: the underscore, which \w has, separates
+_TOKEN = re.compile(r"[^\W_]+")
 #: Longer tokens, in bytes, are dropped.
 TOKEN_BYTES = 40
 #: Positions of the elements of a multi-valued field lie this far apart, so that no phrase spans two of them.
@@ -18,28 +25,83 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(found, lambda x: F.octet_length(x) < TOKEN_BYTES), F.lower)
 
 
-def _places(x: Column, kind: str) -> Column:
-    """array<struct<term, pos>> of a string or an array of strings."""
-    one = lambda text, base: F.transform(tokens(text), lambda t, i: F.struct(t.alias("term"), (base + i).alias("pos")))
-    if kind == "string":
-        return F.coalesce(one(x, F.lit(0).cast("long")), F.array().cast("array<struct<term:string,pos:bigint>>"))
-    parts = F.transform(x, lambda e, k: F.coalesce(one(e, k.cast("long") * ELEMENT_GAP), F.array().cast("array<struct<term:string,pos:bigint>>")))
-    return F.flatten(parts)
+def tokenize(text: str) -> list[str]:
+    """The same outside the JVM, token for token."""
+    return [t.lower() for t in _TOKEN.findall(text) if len(t) * 4 < TOKEN_BYTES or len(t.encode("utf-8", "surrogatepass")) < TOKEN_BYTES]
+
+
+#: Tokens in one batch of inverted documents, about.
+BATCH_TOKENS = 500_000
+
 
+def inverted(df: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
+    """(key, field, dl, terms, tfs, positions) of strings and arrays of strings: one row for each document's field that has
+    tokens, its distinct terms side by side with how often and where they stand; dl is the number of tokens.
 
-def positioned(df: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
-    """(key, field, dl, term, pos) of strings and arrays of strings, dl being the number of tokens of the document's field.
-    The rows are partitioned by key before texts are taken apart: what follows by key needs no shuffle of tokens."""
+    A document is turned over in one go where it is read: its tokens never become rows, let alone rows to shuffle."""
     own = df.select(F.col(key).alias(key), *[c.alias(f"f{i}") for i, c in enumerate(columns.values())])
-    places = []
     for i, f in enumerate(columns):
         kind = own.schema[f"f{i}"].dataType.simpleString()
         if kind not in ("string", "array<string>"):
             raise TypeError(f"{f}: full text needs a string or an array of strings, not {kind}")
-        places.append(F.struct(F.lit(f).alias("field"), _places(F.col(f"f{i}"), kind).alias("places")))
-    fields = own.repartition(key).select(key, F.explode(F.array(*places)).alias("x")).select(key, "x.field", "x.places")
-    sized = fields.select(key, "field", F.size("places").cast("long").alias("dl"), F.explode("places").alias("y"))
-    return sized.select(key, "field", "dl", "y.term", "y.pos")
+    fields = list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = _Inverted(b.column(0))
+            texts = [b.column(1 + i) for i in range(len(fields))]
+            for row in range(b.num_rows):
+                for f, column in zip(fields, texts):
+                    value = column[row].as_py()
+                    if value:
+                        held.add(row, f, [value] if isinstance(value, str) else value)
+                if len(held.positions) > BATCH_TOKENS:
+                    yield held.batch(key)
+                    held = _Inverted(b.column(0))
+            yield held.batch(key)
+
+    kind = own.schema[key].dataType.simpleString()
+    return own.mapInArrow(run, f"`{key}` {kind}, field string, dl bigint, terms array<string>, tfs array<bigint>, positions array<array<bigint>>")
+
+
+class _Inverted:
+    """Documents as the columns of inverted rows."""
+
+    def __init__(self, keys: pa.Array) -> None:
+        self.keys, self.rows, self.fields, self.lengths = keys, [], [], []
+        self.ends, self.terms, self.tfs, self.positions = [0], [], [], []
+
+    def add(self, row: int, field: str, texts: list[str | None]) -> None:
+        places: dict[str, list[int]] = {}
+        n = 0
+        for k, text in enumerate(texts):
+            found = tokenize(text) if text else []
+            n += len(found)
+            for i, t in enumerate(found, k * ELEMENT_GAP):
+                if t in places:
+                    places[t].append(i)
+                else:
+                    places[t] = [i]
+        if n:
+            self.rows.append(row)
+            self.fields.append(field)
+            self.lengths.append(n)
+            self.terms += places
+            for at in places.values():
+                self.tfs.append(len(at))
+                self.positions += at
+            self.ends.append(len(self.terms))
+
+    def batch(self, key: str) -> pa.RecordBatch:
+        ends = pa.array(self.ends, pa.int32())
+        places = pa.ListArray.from_arrays(pa.array([0, *accumulate(self.tfs)], pa.int32()), pa.array(self.positions, pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [
+                self.keys.take(pa.array(self.rows, pa.int64())), pa.array(self.fields, pa.string()), pa.array(self.lengths, pa.int64()),
+                pa.ListArray.from_arrays(ends, pa.array(self.terms, pa.string())), pa.ListArray.from_arrays(ends, pa.array(self.tfs, pa.int64())), pa.ListArray.from_arrays(ends, places),
+            ],
+            [key, "field", "dl", "terms", "tfs", "positions"],
+        )
 
 
 def term_frequencies(df: DataFrame, text: Column) -> DataFrame:

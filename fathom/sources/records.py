@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.plans.features import FeatureSet
+from fathom.plans.features import FeatureSet, all_hold
+from fathom.sources.shared import cut, exists
 
 FEATURES = FeatureSet.of(
     num_ingredients="u8", instructions_length="u32", prep_time="u32?", total_time="u32?", cook_time="u32?", calories="u32?", fat_content="f32?", carb_content="f32?",
@@ -30,8 +31,11 @@ class InvalidData(ValueError):
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType = RECIPE) -> DataFrame:
-    """One JSON object a line; anything else fails the job."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """One JSON object a line; anything else fails the job, and so does a record without a field that the schema requires, or
+    with a feature beyond its type's domain."""
+    read = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    required = read.where(all_hold([(F.col(f"`{f.name}`").isNotNull(), f"{f.name} is required") for f in schema if not f.nullable]))
+    return FEATURES.checked(required, "features") if schema is RECIPE else required
 
 
 def flattened(records: DataFrame) -> DataFrame:
@@ -40,14 +44,13 @@ def flattened(records: DataFrame) -> DataFrame:
 
 
 def card(records: DataFrame) -> DataFrame:
-    """What lists show of a record: its first image only."""
-    return records.select("uuid", "name", "crawl_url", F.size("ingredients").alias("num_ingredients"), F.get("images", F.lit(0)).alias("image"))
+    """What lists show of a record (with its features as columns): its first image only."""
+    return records.select("name", "uuid", "crawl_url", "num_ingredients", "instructions_length", F.get("images", F.lit(0)).alias("image"), "total_time", "calories")
 
 
 def info(records: DataFrame) -> DataFrame:
     """What a record's own page shows."""
-    keep = [c for c in ("uuid", "name", "crawl_url", "ingredients", "instructions", "images", *FEATURES.schema.names) if c in records.columns]
-    return records.select(*keep)
+    return records.select("uuid", "name", "crawl_url", "num_ingredients", "ingredients", "instructions", "images", "total_time", "calories")
 
 
 def as_json(df: DataFrame) -> DataFrame:
@@ -63,6 +66,37 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
 
+class FixedLog:
+    """An append-only log of entries of one width, in the order of their appends: (number, entry: binary)."""
+
+    def __init__(self, spark: SparkSession, path: str, width: int) -> None:
+        """Opens a log, or begins one where there is none; a log of another width is an error."""
+        if width <= 0:
+            raise InvalidData("an entry has at least one byte")
+        self.spark, self.path, self.width = spark, path, width
+        if exists(spark, path) and not self.entries().where(F.length("entry") != width).isEmpty():
+            raise InvalidData(f"{path} has entries that aren't of {width} bytes")
+
+    def entries(self) -> DataFrame:
+        return self.spark.read.schema("number long, entry binary").parquet(self.path)
+
+    def append(self, df: DataFrame, order: list[str | Column], entry: Column) -> None:
+        """Appends an entry for each row, by that order; entries of another width fail the job, and none is appended."""
+        first = len(self)
+        checked = df.select(entry.alias("entry"), *[F.col(x).alias(f"o{i}") if isinstance(x, str) else x.alias(f"o{i}") for i, x in enumerate(order)])
+        checked = checked.where(all_hold([(F.coalesce(F.length("entry") == self.width, F.lit(False)), f"an entry isn't of {self.width} bytes")]))
+        keys = [f"o{i}" for i in range(len(order))]
+        # numbers by ranges of the order: each range counts its own, and begins where those before it end
+        ranged = checked.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("p", F.spark_partition_id())
+        held = cut(ranged.withColumn("i", F.monotonically_increasing_id() % (1 << 33)))
+        before = held.groupBy("p").agg((F.max("i") + 1).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("p")) - F.col("n"))
+        numbered = held.join(F.broadcast(before), "p").select((F.col("before") + F.col("i") + first).alias("number"), "entry")  # as many rows as ranges
+        numbered.write.mode("append").parquet(self.path)
+
+    def __len__(self) -> int:
+        return self.entries().count() if exists(self.spark, self.path) else 0
+
+
 def fixed_width(spark: SparkSession, path: str, fields: list[tuple[str, int, Callable[[Column], Column]]], entry: int) -> DataFrame:
     """The entries of append-only logs of fixed-width entries: (path, number, one column a field). fields are
     (name, width, decoder of a binary column); a file whose size isn't a multiple of an entry is an error."""

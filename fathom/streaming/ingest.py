@@ -1,13 +1,12 @@
 """Incremental indexing of a stream of documents.
 
-Each micro-batch writes its postings into a folder of its own, named by its number, so a batch that is run again replaces
+Each micro-batch writes its documents' terms into a folder of its own, named by its number, so a batch that is run again replaces
 itself. Statistics are summed over batches when an index is opened.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fathom.sources.index import Index
@@ -21,7 +20,7 @@ class IndexSink:
 
     def write_batch(self, batch: DataFrame, number: int) -> None:
         index = Index.build(batch, self.fields, self.key)
-        index.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/postings/batch={number}")
+        index.forward.write.mode("overwrite").parquet(f"{self.path}/forward/batch={number}")
         index.docs.write.mode("overwrite").parquet(f"{self.path}/docs/batch={number}")
 
     def start(self, stream: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -29,8 +28,9 @@ class IndexSink:
         return (writer.trigger(availableNow=True) if once else writer).start()
 
     def open(self, spark: SparkSession) -> Index:
-        postings = spark.read.parquet(f"{self.path}/postings").drop("batch")
-        docs = spark.read.parquet(f"{self.path}/docs").drop("batch")
-        stats = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-        totals = postings.groupBy("field").agg(F.sum("tf").alias("total_length"))
-        return Index(docs, postings, stats, totals, list(self.fields))
+        forward = spark.read.parquet(f"{self.path}/forward").drop("batch")
+        return Index.over(spark.read.parquet(f"{self.path}/docs").drop("batch"), forward, list(self.fields))
+
+    def compact(self, spark: SparkSession, path: str) -> Index:
+        """The batches so far as a stored index, its postings sorted by term."""
+        return self.open(spark).write(path)
