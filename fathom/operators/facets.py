@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from fathom.plans.features import FeatureSet, UnknownFeature
@@ -30,6 +30,23 @@ def _checked(df: DataFrame, ranges: Ranges) -> list[tuple[str, int, float, float
     return [(name, i, low, high) for name, rs in ranges.items() for i, (low, high) in enumerate(rs)]
 
 
+def stats_columns(ranges: Ranges) -> list[Column]:
+    """For one aggregation: of each range in turn its least and greatest value and its count."""
+    out = []
+    for k, (name, low, high) in enumerate((n, a, b) for n, rs in ranges.items() for a, b in rs):
+        x = F.col(name).cast("double")
+        own = F.when((x >= low) & (x < high), x)
+        out += [F.min(own).alias(f"min{k}"), F.max(own).alias(f"max{k}"), F.count(own).alias(f"n{k}")]
+    return out
+
+
+def stats_rows(row: Row, ranges: Ranges) -> list[dict]:
+    """What ``stats_columns`` gave, as the rows of ``range_stats``."""
+    wanted = [(n, i, a, b) for n, rs in ranges.items() for i, (a, b) in enumerate(rs)]
+    either = lambda x, other: float(other) if x is None else x
+    return [{"feature": n, "bucket": i, "min": either(row[f"min{k}"], b), "max": either(row[f"max{k}"], a), "count": row[f"n{k}"]} for k, (n, i, a, b) in enumerate(wanted)]
+
+
 def range_stats(df: DataFrame, ranges: Ranges) -> DataFrame:
     """(feature, bucket, lo, hi, min, max, count), one row a range, in double precision. A range without values has the
     end of the range for min and its start for max."""
@@ -37,12 +54,7 @@ def range_stats(df: DataFrame, ranges: Ranges) -> DataFrame:
     spark = df.sparkSession
     if not wanted:
         return spark.createDataFrame([], "feature string, bucket int, lo double, hi double, min double, max double, count long")
-    out = []
-    for k, (name, _, low, high) in enumerate(wanted):
-        x = F.col(name).cast("double")
-        own = F.when((x >= low) & (x < high), x)
-        out += [F.min(own).alias(f"min{k}"), F.max(own).alias(f"max{k}"), F.count(own).alias(f"n{k}")]
-    wide = df.agg(*out)
+    wide = df.agg(*stats_columns(ranges))
     rows = [
         F.struct(
             F.lit(name).alias("feature"), F.lit(i).alias("bucket"), F.lit(float(low)).alias("lo"), F.lit(float(high)).alias("hi"),

@@ -11,14 +11,15 @@ from fathom.plans.features import FeatureSet, UnknownFeature
 
 
 def range_predicate(ranges: Mapping[str, tuple[float, float] | None], features: FeatureSet | None = None) -> Column:
-    """All of the ranges; a feature without one isn't constrained, a missing value never matches."""
+    """All of the ranges; a feature without one isn't constrained, a missing value never matches. Bounds of declared features
+    must be of their type."""
     out = F.lit(True)
     for name, bounds in ranges.items():
         if features is not None:
             features[name]  # unknown names are errors
         if bounds is None:
             continue
-        low, high = bounds
+        low, high = bounds if features is None else features[name].checked_range(bounds)
         x = F.col(name)
         # single precision is compared as double, like its bounds
         if features is not None and features[name].kind == "f32":

@@ -80,9 +80,12 @@ class TopTerms:
         own = self.index.doc_terms(doc_id).where(F.col("field").isin(self.fields))
         return self._ranked(self._scored(own, accept), limit)
 
-    def extract_all(self, limit: int, accept: Acceptor | None = None) -> DataFrame:
-        """(doc_id, field, term, score, rank) of all documents at once."""
-        own = self.index.postings.where(F.col("field").isin(self.fields)).select("doc_id", "field", "term", "tf")
+    def extract_all(self, limit: int, accept: Acceptor | None = None, docs: DataFrame | None = None) -> DataFrame:
+        """(doc_id, field, term, score, rank) of all documents at once, or of those whose ids docs has."""
+        own = self.index.forward.where(F.col("field").isin(self.fields))
+        if docs is not None:
+            own = own.join(docs.select("doc_id"), "doc_id", "left_semi")
+        own = own.select("doc_id", "field", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("doc_id", "field", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
         by = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.asc("field"), F.asc("term"))
         return self._scored(own, accept).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit).select("doc_id", "field", "term", "score", "rank")
 
@@ -106,6 +109,23 @@ def more_like_all(index: Index, keywords: DataFrame, limit: int, boosted: bool =
     return sums.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
 
 
+def similarity_report(keywords: DataFrame, simple: DataFrame, weighted: DataFrame, similar: DataFrame) -> DataFrame:
+    """(recipe_id, len, top5, simple_weighted_found_delta, simple_pos, weighted_pos, simple_recall, weighted_recall): how a
+    document's plain query of its keywords does against the weighted one. keywords (doc_id, term, rank), results
+    (src, doc_id, rank), similar (src, similar: array of ids) of all documents to report."""
+    terms = keywords.groupBy(F.col("doc_id").alias("src")).agg(F.count("*").alias("len"), F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", "term")))).alias("t"))
+    found = [x.groupBy("src").agg(F.count("*").alias(f"{n}_found")) for n, x in (("simple", simple), ("weighted", weighted))]
+    rated = [recall(x, similar).select("src", F.col("self_position").alias(f"{n}_pos"), F.col("recall").alias(f"{n}_recall")) for n, x in (("simple", simple), ("weighted", weighted))]
+    out = similar.select("src").join(terms, "src", "left")
+    for x in (*found, *rated):
+        out = out.join(x, "src", "left")
+    n = lambda x: F.coalesce(x, F.lit(0)).cast("long")
+    return out.select(
+        F.col("src").alias("recipe_id"), n(F.col("len")).alias("len"), F.coalesce(F.array_join(F.transform("t", lambda x: x["term"]), ";"), F.lit("")).alias("top5"),
+        (n(F.col("simple_found")) - n(F.col("weighted_found"))).alias("simple_weighted_found_delta"), "simple_pos", "weighted_pos", "simple_recall", "weighted_recall",
+    )
+
+
 def recall(found: DataFrame, similar: DataFrame) -> DataFrame:
     """(src, n_similar, hits, recall, self_position) of result lists (src, doc_id, rank) against lists of what should be
     found (src, similar: array of ids). recall is null where nothing should be; self_position is -1 where it isn't there."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathom.plans.features import all_hold
+
 
 class MissingRecord(LookupError):
     """An id without a record."""
@@ -17,13 +19,17 @@ def last_wins(df: DataFrame, key: str, sequence: str) -> DataFrame:
 
 
 def hydrate(page: DataFrame, records: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The records of a page (key, rank, ...) in its order. The page is the small side, whatever the store's size; a join
-    strategy by size is Spark's choice."""
-    return page.join(records, key).orderBy("rank")
+    """The records of a page (key, rank, ...) in its order; a record that isn't there fails the job. The page is the small
+    side, whatever the store's size; a join strategy by size is Spark's choice."""
+    there = "there_"
+    while there in (*page.columns, *records.columns):
+        there += "_"
+    met = page.join(records.withColumn(there, F.lit(True)), key, "left")
+    return met.where(all_hold([(F.col(there).isNotNull(), "a page names a record that is missing")])).drop(there).orderBy("rank")
 
 
 def hydrate_all(page: DataFrame, records: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The same, and an error if a record is missing."""
+    """The same, but what is missing is looked for first, and named."""
     lost = page.join(records, key, "left_anti").select(key).limit(3).collect()
     if lost:
         raise MissingRecord(", ".join(str(r[0]) for r in lost))

@@ -124,11 +124,15 @@ class _Row:
             return ok, reduce(lambda a, b: a + b, [s for _, s in must] + [F.when(m, s).otherwise(zero) for m, s in should])
         raise TypeError(type(q).__name__)
 
+    def phrase_tf(self, q: Phrase) -> Column:
+        # where the phrase would begin, going by each of its terms: in proportion to how often they stand there
+        begin = lambda i: lambda at: at - i
+        begins = [F.transform(F.col(f"p{self.number[q.field, t]}"), begin(i)) for i, t in enumerate(q.terms)]
+        return F.size(reduce(F.array_intersect, begins))
+
     def phrase(self, q: Phrase) -> tuple[Column, Column]:
         numbers = [self.number[q.field, t] for t in q.terms]
-        first = F.col(f"p{numbers[0]}")
-        follows = lambda at: reduce(lambda a, b: a & b, [F.array_contains(F.col(f"p{k}"), at + i) for i, k in enumerate(numbers) if i], F.lit(True))
-        tf = F.size(F.filter(first, follows))
+        tf = self.phrase_tf(q)
         there = reduce(lambda a, b: a & b, [F.col(f"p{k}").isNotNull() for k in dict.fromkeys(numbers)])
         matched = F.coalesce(there & (tf > 0), F.lit(False))
         if not self.scored:
@@ -194,12 +198,48 @@ def explain(index: Index, q: Query, doc_id: int) -> DataFrame:
 
 
 def explained(index: Index, q: Query) -> DataFrame:
-    """The same for all documents that have any of the terms."""
+    """The same for all documents that match."""
     spark = index.docs.sparkSession
     parts = clauses(q)
     asked = spark.createDataFrame([(i, f, t, float(b)) for i, (f, t, b) in enumerate(parts)], "clause int, field string, term string, boost double")
     terms = list(dict.fromkeys((f, t) for f, t, _ in parts))
     known = weights(index, terms).drop("leaf").join(asked, ["field", "term"])
     hits = _postings(index, terms).drop("positions").join(F.broadcast(known), ["field", "term"])
+    hits = hits.join(search(index, q, scored=False).select("doc_id"), "doc_id", "left_semi")
     score = bm25(F.col("tf").cast("double"), F.col("weight"), F.col("dl"), F.col("avg_dl")) * F.col("boost")
     return hits.select("doc_id", "clause", "field", "term", "tf", "df", "dl", F.col("weight").alias("idf"), "boost", score.alias("score"))
+
+
+def nodes(q: Query, path: str = "0", occur: str = "") -> list[tuple[str, str, str, Query]]:
+    """(path, occur, what it is, tree) of each node, from the root down; a node's children go by their place."""
+    kind = type(q).__name__.lower()
+    if isinstance(q, Term):
+        text, below = f"{q.field}:{q.term}", []
+    elif isinstance(q, Phrase):
+        text, below = f'{q.field}:"{" ".join(q.terms)}"', []
+    elif isinstance(q, Boost):
+        text, below = f"x {float(q.factor)}", [("", q.query)]
+    elif isinstance(q, DisMax):
+        text, below = f"tiebreaker {float(q.tiebreaker)}", [("", d) for d in q.disjuncts]
+    elif isinstance(q, Boolean):
+        text, below = "", [(o.value, x) for o, x in q.clauses]
+    else:
+        text, below = (f"{q.feature} in [{q.low}, {q.high})" if isinstance(q, Range) else ""), []
+    return [(path, occur, f"{kind} {text}".strip(), q), *(x for i, (o, b) in enumerate(below) for x in nodes(b, f"{path}.{i}", o))]
+
+
+def explain_nodes(index: Index, q: Query) -> DataFrame:
+    """(doc_id, node, occur, what, matched, score, tf) of every node of the tree, for all documents that match: of a DisMax
+    each disjunct beside what they give together, of a phrase how often it stands there. A node that doesn't match has no
+    score."""
+    terms = leaves(q)
+    row = _Row(terms, True)
+    needs_docs = matches_without_terms(q) or ranges(q)
+    everything = index.docs.select("doc_id", *ranges(q))
+    found = everything if not terms else everything.join(rows(index, q, True), "doc_id", "left" if matches_without_terms(q) else "inner") if needs_docs else rows(index, q, True)
+    parts = []
+    for path, occur, what, node in nodes(q):
+        match, score = row.of(node)
+        tf = row.phrase_tf(node) if isinstance(node, Phrase) else F.lit(None)
+        parts.append(F.struct(F.lit(path).alias("node"), F.lit(occur).alias("occur"), F.lit(what).alias("what"), match.alias("matched"), F.when(match, score).alias("score"), F.when(match, tf).cast("long").alias("tf")))
+    return found.where(row.of(q)[0]).select("doc_id", F.inline(F.array(*parts)))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _F32 = float.fromhex("0x1.fffffep+127")
@@ -39,6 +42,18 @@ class UnknownFeature(LookupError):
     """A request names what isn't declared."""
 
 
+class InvalidRange(ValueError):
+    """A range isn't two values of its feature's type."""
+
+
+def all_hold(checks: list[tuple[Column, str]]) -> Column:
+    """True; or an error that says which check failed, for a filter."""
+    out = F.lit(True)
+    for holds, message in checks:
+        out = out & F.isnull(F.assert_true(holds, F.lit(message)))
+    return out
+
+
 @dataclass(frozen=True)
 class FeatureSpec:
     name: str
@@ -62,6 +77,24 @@ class FeatureSpec:
     def is_float(self) -> bool:
         return self.kind in ("f32", "f64")
 
+    def checked_range(self, bounds: object) -> tuple[float, float]:
+        """The two bounds, if they are values of the type: whole numbers within its domain, or finite ones."""
+        if not isinstance(bounds, (tuple, list)) or len(bounds) != 2:
+            raise InvalidRange(f"{self.name}: a range has a start and an end, not {bounds!r}")
+        _, least, most = TYPES[self.kind]
+        for x in bounds:
+            if isinstance(x, bool) or not isinstance(x, (int, float) if self.is_float else int) or not math.isfinite(x) or not least <= x <= most:
+                raise InvalidRange(f"{self.name}: {x!r} is no {self.kind}")
+        return bounds[0], bounds[1]
+
+    def valid(self, x: Column) -> Column:
+        """Whether a column's value may stand for the feature: within the domain, and there unless it's optional."""
+        _, least, most = TYPES[self.kind]
+        low, high = (F.lit(float(v)) if self.is_float else F.lit(v).cast("long") for v in (least, most))
+        # what is no finite number is stored, as a number's text can't spell it, but never counted
+        within = F.lit(True) if self.is_float else x.cast("long").between(low, high)
+        return F.coalesce(within, F.lit(True)) if self.optional else x.isNotNull() & F.coalesce(within, F.lit(False))
+
 
 @dataclass(frozen=True)
 class FeatureSet:
@@ -88,6 +121,16 @@ class FeatureSet:
                 return s
         raise UnknownFeature(name)
 
+    def checked(self, df: DataFrame, at: str = "") -> DataFrame:
+        """df, but a value that isn't of its feature's type, or is missing though required, fails the job. ``at`` is the
+        struct column that holds the features, if one does."""
+        column = lambda s: F.col(f"{at}.{s.name}" if at else s.name)
+        return df.where(all_hold([(s.valid(column(s)), f"{s.name} isn't of type {s.kind}") for s in self.specs]))
+
+    def widened(self, df: DataFrame) -> DataFrame:
+        """df with features as they are compared: whole numbers as 64 bits, the others in double precision."""
+        return df.withColumns({s.name: F.col(s.name).cast("double" if s.is_float else "long") for s in self.specs})
+
     def validate(self, schema: T.StructType) -> None:
         """Every feature has a column of a type that holds it."""
         for s in self.specs:

@@ -5,13 +5,15 @@ import uuid
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fathom.engine import Engine, SearchRequest
+from fathom.engine import Engine, RequestTooLarge, SearchRequest
 from fathom.functions.cursor import Cursor, CursorMismatch, UnknownCursor
-from fathom.operators.store import MissingRecord, RecordStore, hydrate_all
-from fathom.plans.features import UnknownFeature
+from fathom.operators.store import MissingRecord, RecordStore, hydrate, hydrate_all
+from fathom.plans.compiler import search
+from fathom.plans.features import FeatureSet, InvalidRange, UnknownFeature
 from fathom.sources.index import Index
-from fathom.sources.records import FEATURES, InvalidData, as_json, card, fixed_width, flattened, info, read_records, unsigned, write_csv
+from fathom.sources.records import FEATURES, FixedLog, InvalidData, as_json, card, fixed_width, flattened, info, read_records, unsigned, write_csv
 from fathom.streaming.ingest import IndexSink
 
 WORDS = "cheese bacon potato onion garlic salt pepper lemon butter cream".split()
@@ -42,8 +44,7 @@ def engine(records, tmp_path_factory):
     docs = flattened(records)
     index = Index.build(docs, {f: F.col(f) for f in ("name", "ingredients", "instructions")}, key="recipe_id")
     stored = index.write(str(tmp_path_factory.mktemp("index") / "i"))
-    diets = frozenset(n for n in FEATURES.schema.names if n.startswith("diet_"))
-    return Engine(stored, FEATURES, unsortable=diets)
+    return Engine(stored, FEATURES)
 
 
 def ids(result):
@@ -99,19 +100,93 @@ def test_defaults_and_errors(engine):
 
 
 def test_projections_and_sinks(spark, records, tmp_path):
-    first, second = card(records.orderBy("recipe_id")).limit(2).collect()
-    assert (first["image"], second["image"]) == ("0.jpg", None)
+    import json
+
+    first, second = card(flattened(records).orderBy("recipe_id")).limit(2).collect()
+    assert (first["image"], second["image"]) == ("0.jpg", None) and first["instructions_length"] > 0
     texts = [r["json"] for r in as_json(info(flattened(records)).where("uuid like '%0002'")).collect()]
     assert texts and all('"images"' not in t and "diet_vegan" not in t and '"name"' in t for t in texts)
-    write_csv(card(records), str(tmp_path / "csv"))
+    write_csv(card(flattened(records)), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 60
     with pytest.raises(Exception, match="(?i)already.exists"):
-        write_csv(card(records), str(tmp_path / "csv"))
-    (tmp_path / "bad.jsonlines").write_text('{"recipe_id": 1}\nnot json\n')
+        write_csv(card(flattened(records)), str(tmp_path / "csv"))
+    (tmp_path / "bad.jsonlines").write_text(f"{json.dumps(recipe(1, random.Random(1)))}\nnot json\n")
     with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
         read_records(spark, str(tmp_path / "bad.jsonlines")).collect()
 
 
+@pytest.mark.parametrize(
+    ("change", "message"),
+    [
+        ({"uuid": None}, "uuid is required"), ({"recipe_id": None}, "recipe_id is required"), ({"features": {"instructions_length": 1}}, "num_ingredients isn't"),
+        ({"features": {"num_ingredients": 300, "instructions_length": 1}}, "num_ingredients isn't of type u8"), ({"features": {"num_ingredients": 3, "instructions_length": 1, "calories": -5}}, "calories"),
+    ],
+)
+def test_records_without_what_they_need_fail_the_load(spark, tmp_path, change, message):
+    import json
+
+    good = recipe(1, random.Random(1))
+    (tmp_path / "r.jsonlines").write_text(json.dumps(good) + "\n" + json.dumps({k: v for k, v in (good | change).items() if v is not None}) + "\n")
+    with pytest.raises(Exception, match=message):
+        read_records(spark, str(tmp_path / "r.jsonlines")).select("name").collect()
+
+
+KINDS = {"u8": [0, 7, 7, 255], "u16": [0, 65535], "u32": [5, 2**32 - 1], "u64": [0, 2**63 - 1, 2**62 + 1], "i8": [-128, -5, 127], "i16": [-7, 0, 32767], "i32": [-7, -5, -1, 5, -(2**31)], "i64": [-(2**63), 2**63 - 1, -(2**62) - 1, 3], "f32": [-1.5, 0.1, 3e38], "f64": [-1e300, 0.1, 1e300]}
+
+
+@pytest.mark.parametrize("kind", sorted(KINDS))
+@pytest.mark.parametrize("ascending", [False, True])
+def test_pages_of_every_kind_of_feature(spark, kind, ascending):
+    values = [v for v in KINDS[kind] for _ in range(3)] + [None]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("uuid", T.StringType()), T.StructField("t", T.StringType()), FeatureSet.of(x=f"{kind}?").schema[0]])
+    docs = spark.createDataFrame([(i, str(uuid.UUID(int=i)), "word", v) for i, v in enumerate(values)], schema).coalesce(1)
+    engine = Engine(Index.build(docs, {"t": F.col("t")}), FeatureSet.of(x=f"{kind}?"))
+    seen, after = [], None
+    while True:
+        page = engine.search({"sort": "x_asc" if ascending else "x", "num_items": 4, "after": after})
+        seen += ids(page)
+        after = page.next
+        if after is None:
+            break
+    key = lambda i: values[i] or 0
+    assert seen == sorted(range(len(values)), key=lambda i: (key(i) if ascending else -key(i), i))
+
+
+def test_requests_and_answers_in_json(engine):
+    import json
+
+    body = {"fulltext": "cheese", "sort": "num_ingredients_asc", "num_items": 3, "agg": {"total_time": [[0, 15], [15, 60]]}}
+    answer = json.loads(engine.respond(json.dumps(body)))
+    want = engine.search(body)
+    assert [x["uuid"] for x in answer["items"]] == [r["uuid"] for r in want.items.collect()] and answer["total_found"] == want.total_found
+    assert answer["next"] == want.next and answer["agg"] == want.agg
+    assert set(answer["items"][0]) <= {"name", "uuid", "crawl_url", "num_ingredients", "instructions_length", "image", "total_time", "calories"}
+    last = json.loads(engine.respond(json.dumps({"fulltext": "cheese", "num_items": 1000})))
+    assert "next" not in last and "agg" not in last
+    with pytest.raises(RequestTooLarge):
+        engine.respond(json.dumps({"fulltext": "x" * 4096}))
+    with pytest.raises(ValueError):
+        engine.respond("[]")
+
+
+@pytest.mark.parametrize("bounds", [(0,), (0, 1, 2), (0.5, 3), ("0", "3"), (True, 3), (-1, 3), (0, 2**32), (0, None), 3])
+def test_ranges_must_be_of_their_features_type(engine, bounds):
+    with pytest.raises(InvalidRange):
+        engine.search({"filter": {"total_time": bounds}})
+    with pytest.raises(InvalidRange):
+        engine.search({"agg": {"total_time": [bounds]}})
+
+
+def test_the_matches_are_found_once(engine, monkeypatch):
+    """Whatever is asked of them: postings are scanned by one of the search's jobs."""
+    from fathom import engine as module
+
+    calls = []
+    monkeypatch.setattr(module, "search", lambda *a: calls.append(a) or search(*a))
+    found = engine.search({"fulltext": "cheese", "agg": {"total_time": [(0, 15)]}})
+    assert len(calls) == 1 and found.total_found > 0 and found.agg["total_time"][0]["count"] > 0
+
+
 def test_record_store(spark, records, tmp_path):
     store = RecordStore.create(records.limit(10), str(tmp_path / "s"))
     with pytest.raises(Exception, match="(?i)already.exists"):
@@ -124,10 +199,29 @@ def test_record_store(spark, records, tmp_path):
     assert store.find_by_id(99).isEmpty()
     page = spark.createDataFrame([(4, 1), (2, 2)], "recipe_id long, rank int")
     assert [r["recipe_id"] for r in hydrate_all(page, store.records(), "recipe_id").collect()] == [4, 2]
+    assert [r["recipe_id"] for r in hydrate(page, store.records(), "recipe_id").collect()] == [4, 2]
+    with pytest.raises(Exception, match="names a record that is missing"):
+        hydrate(spark.createDataFrame([(77, 1)], "recipe_id long, rank int"), store.records(), "recipe_id").collect()
     with pytest.raises(MissingRecord):
         hydrate_all(spark.createDataFrame([(77, 1)], "recipe_id long, rank int"), store.records(), "recipe_id")
 
 
+def test_append_only_log(spark, tmp_path):
+    log = FixedLog(spark, str(tmp_path / "log"), 8)
+    assert len(log) == 0
+    entry = F.unhex(F.lpad(F.hex("n"), 16, "0"))
+    log.append(spark.createDataFrame([(i,) for i in (5, 3, 9, 1)], "n long").repartition(3), ["n"], entry)
+    log.append(spark.createDataFrame([(2,), (0,)], "n long"), [-F.col("n")], entry)
+    assert len(log) == 6
+    assert [(r["number"], int.from_bytes(r["entry"])) for r in log.entries().orderBy("number").collect()] == list(enumerate([1, 3, 5, 9, 2, 0]))
+    with pytest.raises(Exception, match="isn't of 8 bytes"):
+        log.append(spark.createDataFrame([(1,)], "n long"), ["n"], F.unhex(F.lit("00")))
+    assert len(FixedLog(spark, str(tmp_path / "log"), 8)) == 6
+    for width in (0, 7):
+        with pytest.raises(InvalidData):
+            FixedLog(spark, str(tmp_path / "log"), width)
+
+
 def test_fixed_width_log(spark, tmp_path):
     entries = [(7, b"abcd"), (2**40, b"wxyz")]
     (tmp_path / "log.bin").write_bytes(b"".join(n.to_bytes(8, "big") + t for n, t in entries))
@@ -148,10 +242,12 @@ def test_streamed_index_equals_a_batch_one(spark, tmp_path):
     sink.write_batch(spark.read.parquet(sorted(str(p) for p in (tmp_path / "in").glob("*.parquet"))[0]), 99)
     import shutil
 
-    shutil.rmtree(tmp_path / "out/postings/batch=99")
+    shutil.rmtree(tmp_path / "out/forward/batch=99")
     shutil.rmtree(tmp_path / "out/docs/batch=99")
     got, want = sink.open(spark), Index.build(docs, {"t": F.col("t")})
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(got.term_stats) == key(want.term_stats)
     assert key(got.field_stats) == key(want.field_stats)
     assert got.num_docs().first()[0] == 30
+    stored = sink.compact(spark, str(tmp_path / "whole"))
+    assert key(stored.postings) == key(want.postings) and stored.num_docs().first()[0] == 30

@@ -1,14 +1,17 @@
 from __future__ import annotations
 
+import time
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.functions.text import ELEMENT_GAP, tokens
+from fathom.functions.text import ELEMENT_GAP, tokenize, tokens
 from fathom.operators.keywords import TopTerms
-from fathom.plans.compiler import NotAMatch, explain, leaves, search
+from fathom.plans.compiler import NotAMatch, explain, explain_nodes, explained, leaves, search
 from fathom.plans.grammar import Occur
-from fathom.plans.query import All, Boolean, Boost, DisMax, Nothing, Phrase, QueryParser, Range, Term, all_of, any_of, tokenize
-from fathom.sources.index import Index, MissingTable
+from fathom.plans.query import All, Boolean, Boost, DisMax, Nothing, Phrase, QueryParser, Range, Term, all_of, any_of
+from fathom.sources.index import Index, IndexExists, MissingTable
 
 FILMS = [
     (0, "Across the Universe", "Musical based on The Beatles songbook and set in the 60s England, America, and Vietnam. The love story of Lucy and Jude is intertwined with the anti-war movement and social protests of the 60s."),
@@ -125,8 +128,23 @@ def test_phrases(spark):
     assert index.postings.where("term = 'four'").first()["positions"] == [ELEMENT_GAP + 1]
 
 
+def test_a_phrase_in_a_very_long_text_takes_time_in_proportion(spark):
+    text = "one two " * 60_000 + "two three"
+    index = Index.build(spark.createDataFrame([(1, text), (2, "two one")], "doc_id long, t string"), {"t": F.col("t")})
+    begun = time.perf_counter()
+    (row,) = search(index, Phrase("t", ("one", "two", "one"))).collect()
+    assert ids(index, Phrase("t", ("two", "two", "three"))) == [1] and row["doc_id"] == 1
+    assert time.perf_counter() - begun < 20
+
+
+def test_tokens_outside_the_jvm_are_the_same(spark):
+    odd = "İstanbul ǅ ﬁ ΑΣ ΑΣ. 数学 ½ Ⅷ ² ٣ e\u0301 ß ẞ _x_ a_b \U0001f600x\U00010400 ª ºn " + "é" * 19 + " " + "é" * 20 + " " + "x" * 39 + " " + "x" * 40
+    data = spark.createDataFrame([(odd,), ("",), ("...",)], "t string")
+    assert [r[0] for r in data.select(tokens(F.col("t"))).collect()] == [tokenize(t) for t in (odd, "", "...")]
+
+
 def test_unscored_search_reads_no_statistics(films):
-    films_without = Index(films.docs, films.postings, films.term_stats.select("field"), films.field_stats, films.fields)
+    films_without = replace(films, term_stats=films.term_stats.select("field"), corpus=films.docs.select("title"))
     assert sorted(r["doc_id"] for r in search(films_without, Term("plot", "musical"), scored=False).collect()) == [0, 2]
 
 
@@ -148,6 +166,23 @@ def test_explain(films):
     assert sum(r["score"] for r in rows) == pytest.approx(total)
     with pytest.raises(NotAMatch):
         explain(films, q, 1)
+    # documents that have a term but don't match aren't explained
+    assert {r["doc_id"] for r in explained(films, QueryParser(["plot"]).parse("+musical -dublin")).collect()} == {0}
+
+
+def test_explained_nodes(films):
+    q = QueryParser(["title", "plot"], boosts={"title": 2.0}).parse_dismax('musical "love story" -paris', 0.1)
+    rows = {(r["doc_id"], r["node"]): r for r in explain_nodes(films, q).collect()}
+    scores = {r["doc_id"]: r["score"] for r in search(films, q).collect()}
+    assert {d for d, _ in rows} == set(scores) == {0, 2}
+    for d, total in scores.items():
+        assert rows[d, "0"]["score"] == pytest.approx(total) == pytest.approx(rows[d, "0.0"]["score"] + rows[d, "0.1"]["score"])
+        title, plot = rows[d, "0.0.0"], rows[d, "0.0.1"]
+        assert rows[d, "0.0"]["what"] == "dismax tiebreaker 0.1" and not title["matched"] and title["score"] is None
+        assert rows[d, "0.0"]["score"] == pytest.approx(plot["score"]) and plot["what"] == "term plot:musical"
+        phrase = next(r for (x, _), r in rows.items() if x == d and r["what"] == 'phrase plot:"love story"')
+        assert phrase["tf"] == 1
+        assert [r["occur"] for (x, n), r in rows.items() if x == d and "paris" in r["what"]] == ["must_not"] * 2
 
 
 def test_stored_index(spark, films, tmp_path):
@@ -156,8 +191,11 @@ def test_stored_index(spark, films, tmp_path):
     q = QueryParser(["title", "plot"]).parse("love story")
     want = {(r["doc_id"], round(r["score"], 9)) for r in search(films, q).collect()}
     assert {(r["doc_id"], round(r["score"], 9)) for r in search(stored, q).collect()} == want
-    with pytest.raises(Exception, match="(?i)already.exists"):
+    before = sorted(p.name for p in (tmp_path / "index").rglob("*"))
+    with pytest.raises(IndexExists, match="already exists"):
         films.write(path)
+    assert sorted(p.name for p in (tmp_path / "index").rglob("*")) == before
+    assert films.write(path, overwrite=True).num_docs().first()[0] == 3
     spark.createDataFrame([(1,)], "x int").write.mode("overwrite").parquet(f"{path}/term_stats")
     with pytest.raises(MissingTable):
         Index.open(spark, path, ["title"])
