@@ -6,15 +6,15 @@ once per session and folder in the shared scratch space; labels are its optional
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.engine import Engine
 from fathom.functions.text import idf, term_frequencies
-from fathom.operators.facets import filtered_stats, full_ranges, range_stats
+from fathom.operators.facets import filtered_stats, range_stats
 from fathom.operators.filters import range_filter
 from fathom.operators.keywords import Acceptor, TopTerms, more_like_all, overlap, recall
 from fathom.operators.store import hydrate, last_wins
@@ -24,7 +24,7 @@ from fathom.plans.features import FeatureSet
 from fathom.plans.grammar import Occur
 from fathom.plans.query import All, Boolean, Boost, DisMax, Phrase, Query, QueryParser, Range, Term, any_of
 from fathom.sources.index import Index
-from fathom.sources.shared import checkpoint_dir, table
+from fathom.sources.shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,7 +51,7 @@ def index_of(spark: SparkSession, sf_dir: str) -> Index:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
         built = Index.build(labelled(spark, sf_dir), {"head": F.substring_index("text", "\n", 1), "body": F.col("text")})
-        _INDEXES[key] = built.write(f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4()}")
+        _INDEXES[key] = built.write(f"{scratch(spark, 'index')}/stored")
     return _INDEXES[key]
 
 
@@ -203,9 +203,9 @@ def range_filter_int(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_filter(table(spark, sf_dir, "part"), {"p_size": (10, 20), "p_retailprice": None}, PARTS).select("p_partkey", "p_name", "p_size")
 
 
-@query("select o_orderkey, o_totalprice from orders where o_totalprice >= 1000 and o_totalprice < 50000.5 and o_orderkey >= 100 and o_orderkey < 40000")
+@query("select o_orderkey, o_totalprice from orders where o_totalprice >= 1000 and o_totalprice < 50000.5 and o_custkey >= 10 and o_custkey < 100")
 def range_filter_float(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return range_filter(table(spark, sf_dir, "orders"), {"o_totalprice": (1000, 50000.5), "o_orderkey": (100, 40000)}).select("o_orderkey", "o_totalprice")
+    return range_filter(table(spark, sf_dir, "orders"), {"o_totalprice": (1000, 50000.5), "o_custkey": (10, 100)}).select("o_orderkey", "o_totalprice")
 
 
 @query("select doc_id, quality, toxic from documents left join labels using (doc_id) where quality >= 0 and quality < 1")
@@ -249,11 +249,6 @@ def facets_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered_stats(index.docs, search(index, Term("body", "that"), scored=False), _OPTIONAL)
 
 
-@query(_facet_sql(_LABELLED, full_ranges(LABELS)))
-def info_full_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return range_stats(labelled(spark, sf_dir), full_ranges(LABELS))
-
-
 # sorts and pages -------------------------------------------------------------------------------------------------
 
 
@@ -318,10 +313,10 @@ def sort_missing_as_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked_long(top_k(docs, F.col("quality"), F.col("doc_id"), 40))
 
 
-@query(_order_page("", "o_orderkey, o_totalprice", "orders", "o_totalprice desc, o_orderkey", 15, "o_orderstatus = 'O' and o_orderkey % 3 <> 0"))
+@query(_order_page("", "o_orderkey, o_totalprice", "orders", "o_totalprice desc, o_orderkey", 15, "o_orderstatus = 'O' and o_orderpriority <> '1-URGENT'"))
 def conditional_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any predicate may decide what is collected."""
-    condition = (F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 3 != 0)
+    condition = (F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") != "1-URGENT")
     page = top_k(table(spark, sf_dir, "orders"), F.col("o_totalprice"), F.col("o_orderkey"), 15, condition=condition)
     return _ranked_long(page.select("o_orderkey", "o_totalprice", "rank"))
 
@@ -345,9 +340,9 @@ def merged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # terms and keywords ----------------------------------------------------------------------------------------------
 
 
-@query(f"select term, count(*) as tf from (select unnest({_TOKENS.format('text')}) as term from benchmark) group by term")
+@query(f"select term, count(*) as tf from (select unnest({_TOKENS.format('text')}) as term from documents) group by term")
 def termfreq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_frequencies(table(spark, sf_dir, "benchmark"), F.col("text"))
+    return term_frequencies(table(spark, sf_dir, "documents"), F.col("text"))
 
 
 @query(_INDEX + "select field, term, df from st")
@@ -355,10 +350,15 @@ def docfreq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_of(spark, sf_dir).term_stats.select("field", "term", "df")
 
 
-@query(_INDEX + "select field, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from st, nd where field = 'head'")
+@query(_INDEX + "select field, term, df from st where field = 'body' and term = 'that'")
+def docfreq_of_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).doc_freq("body", "that").select("field", "term", "df")
+
+
+@query(_INDEX + "select field, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from st, nd")
 def idf_of_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = index_of(spark, sf_dir)
-    return index.term_stats.where("field = 'head'").crossJoin(index.num_docs()).select("field", "term", F.round(idf(F.col("df"), F.col("n_docs")), 6).alias("idf"))
+    return index.term_stats.crossJoin(index.num_docs()).select("field", "term", F.round(idf(F.col("df"), F.col("n_docs")), 6).alias("idf"))
 
 
 @query(_INDEX + "select doc_id, field, term, tf from post where doc_id = 7")
@@ -380,17 +380,10 @@ def keywords_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _accept(term, tf, df, n):
-    return (df > 5) & (F.length(term) > 4) & (df <= 50) & ~term.endswith("tion")
-
-
-_ACCEPT = "field = 'body' and df > 5 and length(term) > 4 and df <= 50 and term not like '%tion'"
-
-
-def _accept_any_df(term, tf, df, n):
     return (df > 5) & (F.length(term) > 4) & ~term.endswith("tion")
 
 
-_ACCEPT_ANY_DF = "field = 'body' and df > 5 and length(term) > 4 and term not like '%tion'"
+_ACCEPT = "field = 'body' and df > 5 and length(term) > 4 and term not like '%tion'"
 
 
 @query(_INDEX + _KEYWORDS.format(_ACCEPT) + "select doc_id, field, term, score, rank from kw where rank <= 5")
@@ -398,62 +391,61 @@ def keywords_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TopTerms(index_of(spark, sf_dir), ["body"]).extract_all(5, _accept).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(_INDEX + _KEYWORDS.format(_ACCEPT_ANY_DF) + "select doc_id, field, term, score, rank from kw where rank <= 5")
-def keywords_filtered_any_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TopTerms(index_of(spark, sf_dir), ["body"]).extract_all(5, _accept_any_df).withColumn("rank", F.col("rank").cast("long"))
-
-
 _MLT = (
     ", ks as (select *, score / max(score) over (partition by doc_id) as share from kw where rank <= 20), ml as (select ks.doc_id as src, sc.doc_id, round(sum(sc.s{}), 6) as score"
     " from ks join sc using (field, term) group by 1, 2), mr as (select src, doc_id, score, row_number() over (partition by src order by score desc, doc_id) as rank from ml)"
 )
 
 
-def _similar(spark: SparkSession, sf_dir: str, boosted: bool, accept: Acceptor = _accept) -> DataFrame:
+#: Similarity is asked for every fiftieth document, and looks at all.
+_ASKED = "doc_id % 50 = 0"
+_ACCEPT_ASKED = f"{_ACCEPT} and {_ASKED}"
+
+
+def similar_keywords(spark: SparkSession, sf_dir: str, accept: Acceptor = _accept) -> DataFrame:
     index = index_of(spark, sf_dir)
-    keywords = TopTerms(index, ["body"]).extract_all(20, accept)
-    return more_like_all(index, keywords, 11, boosted).withColumn("rank", F.col("rank").cast("long"))
+    return TopTerms(index, ["body"]).extract_all(20, accept, index.docs.where(_ASKED))
+
+
+def _similar(spark: SparkSession, sf_dir: str, boosted: bool) -> DataFrame:
+    return more_like_all(index_of(spark, sf_dir), similar_keywords(spark, sf_dir), 11, boosted).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(_INDEX + _KEYWORDS.format(_ACCEPT) + _MLT.format("") + "select src, doc_id, score, rank from mr where rank <= 11")
+@query(_INDEX + _KEYWORDS.format(_ACCEPT_ASKED) + _MLT.format("") + "select src, doc_id, score, rank from mr where rank <= 11")
 def mlt_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _similar(spark, sf_dir, False)
 
 
-@query(_INDEX + _KEYWORDS.format(_ACCEPT) + _MLT.format(" * share") + "select src, doc_id, score, rank from mr where rank <= 11")
+@query(_INDEX + _KEYWORDS.format(_ACCEPT_ASKED) + _MLT.format(" * share") + "select src, doc_id, score, rank from mr where rank <= 11")
 def mlt_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _similar(spark, sf_dir, True)
 
 
-@query(_INDEX + _KEYWORDS.format(_ACCEPT_ANY_DF) + _MLT.format("") + "select src, doc_id, score, rank from mr where rank <= 11")
-def mlt_simple_any_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keywords of any document frequency above 5: many copies of a document find each other."""
-    return _similar(spark, sf_dir, False, _accept_any_df)
+_NEAR = """, sim as (
+  select doc_id as src, coalesce(list_filter(list(doc_id) over (partition by source, lang order by doc_id rows between 5 preceding and 5 following), lambda x: true), []) as near from documents
+), want as (select src, list_filter(near, lambda x: x <> src) as wanted from sim where src % 50 = 0), got as (select src, list(doc_id order by rank) as ids from mr where rank <= 11 group by src)"""
 
 
-@query(_INDEX + _KEYWORDS.format(_ACCEPT_ANY_DF) + _MLT.format(" * share") + "select src, doc_id, score, rank from mr where rank <= 11")
-def mlt_boosted_any_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _similar(spark, sf_dir, True, _accept_any_df)
+def near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, similar): what should be found, the five documents before and after of the same source and language."""
+    near = Window.partitionBy("source", "lang").orderBy("doc_id").rowsBetween(-5, 5)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"), F.collect_list("doc_id").over(near).alias("near"))
+    return docs.where("src % 50 = 0").select("src", F.filter("near", lambda x: x != F.col("src")).alias("similar"))
 
 
 @query(
     _INDEX
-    + _KEYWORDS.format(_ACCEPT)
+    + _KEYWORDS.format(_ACCEPT_ASKED)
     + _MLT.format("")
-    + """, sim as (
-  select doc_id as src, coalesce(list_filter(list(doc_id) over (partition by source, lang order by doc_id rows between 5 preceding and 5 following), lambda x: true), []) as near from documents
-), want as (select src, list_filter(near, lambda x: x <> src) as wanted from sim), got as (select src, list(doc_id order by rank) as ids from mr where rank <= 11 group by src)
+    + _NEAR
+    + """
 select src, len(wanted)::bigint as n_similar, len(list_filter(wanted, lambda x: list_contains(coalesce(ids, []), x)))::bigint as hits,
   case when len(wanted) > 0 then len(list_filter(wanted, lambda x: list_contains(coalesce(ids, []), x)))::double / len(wanted) end as recall,
   coalesce(list_position(ids, src), 0)::bigint - 1 as self_position
 from want left join got using (src)"""
 )
 def mlt_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What should be found: the five documents before and after of the same source and language."""
-    near = Window.partitionBy("source", "lang").orderBy("doc_id").rowsBetween(-5, 5)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"), F.collect_list("doc_id").over(near).alias("near"))
-    similar = docs.select("src", F.filter("near", lambda x: x != F.col("src")).alias("similar"))
-    return recall(_similar(spark, sf_dir, False), similar)
+    return recall(_similar(spark, sf_dir, False), near_documents(spark, sf_dir))
 
 
 # records ---------------------------------------------------------------------------------------------------------
@@ -481,17 +473,12 @@ def engine_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text, a filter and a cursor through the engine."""
     index = index_of(spark, sf_dir)
     docs = index.docs.withColumn("uuid", F.regexp_replace(F.md5(F.col("doc_id").cast("string")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"))
-    engine = Engine(Index(docs, index.postings, index.term_stats, index.field_stats, index.fields), LABELS, boosts={"head": 1.15, "body": 0.7})
+    engine = Engine(replace(index, docs=docs), LABELS, boosts={"head": 1.15, "body": 0.7})
     request = {"fulltext": "that with", "filter": {"quality": (1, 2)}, "num_items": 7}
     second = engine.search({**request, "after": engine.search(request).next})
     return _ranked_long(second.items.select("doc_id", "rank", "sort_key")).withColumn("total", F.lit(second.total_found).cast("long"))
 
 
-@query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey = 33")
-def lookup_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey = 33").select("o_orderkey", "o_custkey", "o_totalprice")
-
-
 @query("select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderkey desc) as rn from orders) where rn = 1")
 def dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_wins(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
@@ -499,7 +486,7 @@ def dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _INDEX
-    + _KEYWORDS.format(_ACCEPT)
+    + _KEYWORDS.format(_ACCEPT_ASKED)
     + _MLT.format("")
     + ", m2 as (select ks.doc_id as src, sc.doc_id, round(sum(sc.s * share), 6) as score from ks join sc using (field, term) group by 1, 2),"
     " r2 as (select src, doc_id, row_number() over (partition by src order by score desc, doc_id) as rank from m2)"

@@ -12,7 +12,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from fathom import catalog
+from fathom import catalog, catalog_engine  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 ROOT = Path(__file__).resolve().parents[1]

@@ -12,6 +12,6 @@ def test_more_than_fifty_copies_find_each_other(spark, monkeypatch):
     monkeypatch.setattr(keywords, "PART_DOCS", 7)
     docs = [(i, "mountain rivers flowing westward") for i in range(60)] + [(i, f"nothing{i}") for i in range(60, 70)]
     index = Index.build(spark.createDataFrame(docs, "doc_id long, text string"), {"body": F.col("text")})
-    found = more_like_all(index, TopTerms(index, ["body"]).extract_all(20, catalog._accept_any_df), 100).collect()
+    found = more_like_all(index, TopTerms(index, ["body"]).extract_all(20, catalog._accept), 100).collect()
     assert {(r["src"], r["doc_id"]) for r in found} == {(a, b) for a in range(60) for b in range(60)} and len(found) == 3600
     assert len({r["score"] for r in found}) == 1
