@@ -93,7 +93,7 @@ def textbook(p, draws):
     return p
 
 
-def sequential(spark, docs, blocks, fan_in, seed=mixing.SEED):
+def sequential(spark, docs, blocks, fan_in, seed=mixing.SEED, key="xxhash64(doc_id, source)"):
     """(id, copies) of all documents, block by block and level by level, one after another."""
     size, n = defaultdict(int), defaultdict(int)
     for _, s, t in docs:
@@ -101,7 +101,7 @@ def sequential(spark, docs, blocks, fan_in, seed=mixing.SEED):
         n[s] += 1
     share = {s: v**mixing.TEMPERATURE for s, v in size.items()}
     want = {s: sum(size.values()) * share[s] / sum(share.values()) / size[s] if size[s] else 1.0 for s in size}
-    hashed = spark.createDataFrame(docs, DOCS).selectExpr("doc_id", "source", "xxhash64(doc_id, source) as k", f"pmod(xxhash64(xxhash64(doc_id, source), {seed}), {blocks}) as block", "xxhash64(coalesce(source, ''), source is null) as s").collect()
+    hashed = spark.createDataFrame(docs, DOCS).selectExpr("doc_id", "source", f"{key} as k", f"pmod(xxhash64({key}, {seed}), {blocks}) as block", "xxhash64(coalesce(source, ''), source is null) as s").collect()
     live = [[r["k"], r["doc_id"], want[r["source"]] % 1, r["block"], r["s"], int(want[r["source"]])] for r in hashed]
     copies, level = {}, 0
     while True:
