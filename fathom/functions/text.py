@@ -38,8 +38,12 @@ def inverted(df: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
     """(key, field, dl, terms, tfs, positions) of strings and arrays of strings: one row for each document's field that has
     tokens, its distinct terms side by side with how often and where they stand; dl is the number of tokens.
 
-    A document is turned over in one go where it is read: its tokens never become rows, let alone rows to shuffle."""
+    A document is turned over in one go where it is read: its tokens never become rows, let alone rows to shuffle. Only
+    tables of fewer files than there are cores are spread over them first."""
     own = df.select(F.col(key).alias(key), *[c.alias(f"f{i}") for i, c in enumerate(columns.values())])
+    spark = df.sparkSession
+    if not df.isStreaming and len(df.inputFiles()) < spark.sparkContext.defaultParallelism:
+        own = own.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     for i, f in enumerate(columns):
         kind = own.schema[f"f{i}"].dataType.simpleString()
         if kind not in ("string", "array<string>"):

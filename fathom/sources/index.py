@@ -77,8 +77,10 @@ class Index:
         # texts are taken apart once; all that follows is read from what that gave
         forward = store(self.forward, "forward")
         # ranges of (term, document): the postings of a frequent term lie in as many files as they need
-        store(postings_of(forward).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "field", "doc_id"), "postings")
-        store(term_stats_of(forward).repartitionByRange("term").sortWithinPartitions("term", "field"), "term_stats")
+        postings = store(postings_of(forward).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "field", "doc_id"), "postings")
+        # sorted by term, they count up within each task; hardly anything is left to shuffle
+        stats = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+        store(stats.repartitionByRange("term").sortWithinPartitions("term", "field"), "term_stats")
         store(field_stats_of(forward).coalesce(1), "field_stats")
         docs = store(self.docs, "docs")
         store(docs.agg(F.count("*").alias("n_docs")), "corpus")
