@@ -40,7 +40,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from fathom.llm.common import WORD, c, chunks, cut, fresh, lowered, tokens
 
 N, LEAST, SAMPLE = 8, 1, 8
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Test words that one pass takes to the tasks (about 100 MB); a larger benchmark takes several passes.
 PASS_WORDS = 1_000_000
 Found = list[tuple[int, int, list[int]]]

@@ -144,7 +144,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     drawn = copies_of(own, **options).groupBy("k", "id", "source").agg(F.sum("copies").alias(copies)).where(c(copies) > 0)
     drawn = drawn.select(F.col("k").alias(key), F.col("id").alias(i), F.col("source").alias(s), copies)
     # rows meet by the hash alone, so that texts are shuffled once; that ids and sources agree too is asked of those that met
-    same = lambda a, b: (a == b) | (a.isNull() & b.isNull())
+    same = lambda a, b: F.coalesce(a == b, a.isNull() & b.isNull())
     met = keyed.join(drawn, key).where(same(c(id_col), c(i)) & same(c(source_col).cast("string"), c(s)))
     return met.dropDuplicates([key, id_col, source_col]).select(*[c(x) for x in docs.columns], c(copies))
 

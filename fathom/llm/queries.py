@@ -82,7 +82,6 @@ SQL: dict[str, str] = {
     "op4_decontaminate": _decontaminate.SQL,
     "op5_warc": _warc.SQL,
     "op6_secret_scan": _secrets.SQL,
-    "op7_minhash": _minhash.SQL,
     "op8_suffix_dedup": _suffix.SQL,
     "mixing_totals": _mixing.TOTALS_SQL,
     "op10_line_dedup": _line.SQL,

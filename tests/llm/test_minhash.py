@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,16 @@ def test_against_all_pairs(spark, seed):
     assert set(got) <= set(want)
 
 
+@pytest.mark.parametrize(("sf", "missed"), [("sf0.001", 0), ("sf0.01", 0.01)])
+def test_the_tables_against_all_pairs_by_sql(spark, sf, missed):
+    path = f"/root/testdata/{sf}/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{path}'")
+    want = {d: g for d, g, _ in con.execute(minhash.SQL).fetchall()}
+    got = {r["doc_id"]: (r["group_id"], r["keep"]) for r in minhash.near_duplicate_groups(spark.read.parquet(path)).collect()}
+    assert all(want[d] == g and k == (d == g) for d, (g, k) in got.items()) and len(got) >= (1 - missed) * len(want)
+
+
 def test_buckets_of_several_components_are_verified_pairwise(spark, monkeypatch):
     """With one coordinate a band nearly everything shares buckets; the components must still be those of all pairs."""
     docs = corpus(3)[:90]
