@@ -40,6 +40,19 @@ N, BANDS, ROWS, THRESHOLD, SEED = 3, 50, 5, 0.55, 20240229
 LOG_D = 22
 
 
+def gram_arrays(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its n-grams; of the whole text where it has fewer words."""
+    t = tokens(texts)
+    h, text, _ = ngrams(t, n)
+    both = np.sort(text.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32))
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    low = (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    out = np.split(low, np.searchsorted(both >> np.uint64(32), np.arange(1, len(texts)))) if len(texts) else []
+    for i in np.flatnonzero((np.diff(t.first) > 0) & (np.diff(t.first) < n)):
+        out[i] = (ngram_hash(t.hashes[t.first[i] : t.first[i + 1]], n) >> np.uint64(32)).astype(np.uint32)
+    return out
+
+
 class Sketcher:
     """Signature and n-gram set of a text."""
 
@@ -47,21 +60,13 @@ class Sketcher:
         self.n, self.bands, self.rows = n, bands, rows
         rng = np.random.Generator(np.random.PCG64(seed))
         d = 1 << LOG_D
-        pi = rng.permutation(d).astype(np.uint32)
+        pi = np.arange(d, dtype=np.uint32)
+        rng.shuffle(pi)
         self.shifts = sliding_window_view(np.concatenate([pi, pi[: bands * rows]]), bands * rows)
         self.factor, self.offset = np.uint64(int(rng.integers(d)) | 1), np.uint64(int(rng.integers(d)))  # sigma: x -> factor * x + offset mod D, a bijection
 
     def grams(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Of each text the sorted distinct hashes of its n-grams; of the whole text where it has fewer words."""
-        t = tokens(texts)
-        h, text, _ = ngrams(t, self.n)
-        both = np.sort(text.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32))
-        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
-        low = (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        out = np.split(low, np.searchsorted(both >> np.uint64(32), np.arange(1, len(texts)))) if len(texts) else []
-        for i in np.flatnonzero((np.diff(t.first) > 0) & (np.diff(t.first) < self.n)):
-            out[i] = (ngram_hash(t.hashes[t.first[i] : t.first[i + 1]], self.n) >> np.uint64(32)).astype(np.uint32)
-        return out
+        return gram_arrays(texts, self.n)
 
     def signature(self, grams: np.ndarray) -> np.ndarray:
         at = ((grams.astype(np.uint64) * self.factor + self.offset) & np.uint64((1 << LOG_D) - 1)).astype(np.int64)
@@ -101,10 +106,9 @@ def gram_sets(own: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(d, grams) of the rows (d, t) among ids: only candidates' sets are ever stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Sketcher(n, 1, 1)
         for b in batches:
             for begin, end, texts in chunks(b.column(1)):
-                grams = s.grams(texts)
+                grams = gram_arrays(texts, n)
                 ends = np.cumsum([0] + [len(g) for g in grams]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams).view(np.int32)))], ["d", "grams"])
 

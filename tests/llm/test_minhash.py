@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +95,40 @@ def test_buckets_of_several_components_are_verified_pairwise(spark, monkeypatch)
     assert got == brute_force(docs)[1]
 
 
+def test_sets_are_made_without_permutations():
+    """The stage that stores sets needs none, and its workers share the executor's memory with the largest join's texts."""
+
+    class Plan:
+        dtypes = [("d", "bigint")]
+        join = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run  # noqa: E731, N815
+
+    texts = ["one two three four five six", "two words", "", None]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(texts)], ["d", "t"])
+    run = minhash.gram_sets(Plan(), None, 3)
+    want = [g.view(np.int32).tolist() for g in minhash.Sketcher().grams(texts)]  # letters' numbers are drawn here
+    tracemalloc.start()
+    try:
+        (got,) = run(iter([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.column(0).to_pylist() == [1, 2, 3, 4] and got.column(1).to_pylist() == want
+    assert peak < 4 << minhash.LOG_D  # one permutation
+
+
+def test_a_sketcher_takes_two_permutations_of_memory():
+    """The permutation and the one with its beginning behind it; drawn in place, and the same as ever."""
+    tracemalloc.start()
+    try:
+        s = minhash.Sketcher()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2.5 * (4 << minhash.LOG_D)
+    assert np.array_equal(s.shifts[: 1 << minhash.LOG_D, 0], np.random.Generator(np.random.PCG64(minhash.SEED)).permutation(1 << minhash.LOG_D))
+
+
 def test_signatures_are_circulant_minima():
     s = minhash.Sketcher(3, 4, 2, seed=5)
     (g,) = s.grams(["one two three four five six seven"])
