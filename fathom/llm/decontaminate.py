@@ -1,9 +1,10 @@
 """Benchmark decontamination: an FM-index per training shard, searched backwards for test phrases.
 
-A shard is what a task has read, up to a bound. Its index is of all its words, whatever is going to be asked: the words
-become symbols, a separator stands behind each text, and over that stand a suffix array (prefix doubling, which sorts
-again only what is still undecided), its Burrows-Wheeler transform in a wavelet matrix with block ranks, and suffix
-positions sampled at every text's start and every 8th word. The suffix array itself goes.
+A shard is what a task has read, in parts of a bounded size, however large Spark's batches are. Its index is of all its
+words, whatever is going to be asked: the words become symbols, a separator stands behind each text, and over that stand
+a suffix array (prefix doubling, which sorts again only what is still undecided), its Burrows-Wheeler transform in a
+wavelet matrix with block ranks, and suffix positions sampled at every text's start and every 8th word. The suffix array
+itself goes.
 
 The test phrases are all runs of ``n`` words of the benchmark items (the whole item where it has fewer). All phrases are
 searched at once, symbol by symbol from their end; occurrences are located by walking back to a sample, and overlapping
@@ -103,35 +104,41 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffixes in order; zeros are separators, each different from all others (the earlier is the smaller) and smaller than
     any word. The last symbol is one."""
     n = len(s)
-    zero = s == 0
+    zero = s == 0  # places and symbols are 32-bit numbers, keys alone are longer
     seps = int(zero.sum())
     bits, sep_bits = int(s.max()).bit_length() or 1, seps.bit_length()
     # at first as many symbols as a number holds; behind a separator the key has its number
     deep = max(1, (62 - sep_bits) // bits)
-    key, open_, ordinal = np.zeros(n, np.int64), np.ones(n, bool), np.zeros(n, np.int64)
-    number = np.cumsum(zero)
+    key, open_, ordinal = np.zeros(n, np.int64), np.ones(n, bool), np.zeros(n, np.int32)
+    number = np.cumsum(zero, dtype=np.int32)
     for j in range(deep):
-        at = np.minimum(np.arange(j, n + j), n - 1)
-        here = np.where(open_, s[at], 0)
-        key = key << bits | here
-        ends = open_ & (here == 0)
-        ordinal[ends] = number[at[ends]]
-        open_ &= ~ends
-    key = key << sep_bits | ordinal
+        m = max(0, n - j)  # suffixes that have a symbol j; all others have met their separator
+        key <<= bits
+        key[:m] |= np.where(open_[:m], s[n - m :], 0)
+        ends = np.flatnonzero(open_[:m] & zero[n - m :])
+        ordinal[ends] = number[ends + j]
+        open_[ends] = False
+    key <<= sep_bits
+    key |= ordinal
+    del open_, ordinal, number
     order = np.argsort(key)
     ordered = key[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    del key, ordered
+    order, rank = order.astype(np.int32), np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
     while True:
         undecided = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))
         if not len(undecided):
             return order
         own = order[undecided]  # has no separator within its first ``deep`` symbols
-        key = rank[own] << 31 | rank[own + deep]
+        key = rank[own].astype(np.int64)
+        key <<= 31
+        key |= rank[own + deep]
         by = np.argsort(key)
         order[undecided], ordered = own[by], key[by]
         new[undecided] = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        del key, by, ordered
         rank[order[undecided]] = np.maximum.accumulate(np.where(new[undecided], undecided, 0))
         deep *= 2
 
@@ -142,11 +149,11 @@ class FMIndex:
     def __init__(self, s: np.ndarray, sigma: int, sample: int = SAMPLE) -> None:
         sa = suffix_array(s)
         self.n = len(s)
-        self.wavelet = Wavelet(s[sa - 1].astype(np.int64), sigma)
+        self.wavelet = Wavelet(s[sa - 1], sigma)
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=sigma))])[:sigma]
-        at = np.arange(self.n)
+        at = np.arange(self.n, dtype=np.int32)
         starts = np.concatenate([[True], s[:-1] == 0])
-        offset = at - np.maximum.accumulate(np.where(starts, at, 0))
+        offset = at - np.maximum.accumulate(np.where(starts, at, np.int32(0)))
         sampled = (offset % sample == 0)[sa]
         self.marks, self.samples = Bits(sampled), sa[sampled]
 
@@ -209,14 +216,23 @@ class ShardIndex:
             sizes.append(np.diff(t.first))
         #: of each text where it ends, its separator included
         self.ends = np.cumsum(np.concatenate(sizes) + 1) if sizes else np.zeros(0, np.int64)
-        words, dense = np.unique(np.concatenate(parts), return_inverse=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.words, self.fm = words, None
-        if len(words):
-            s = np.zeros(self.ends[-1], np.int64)
+        hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.words, self.fm = np.zeros(0, np.uint64), None
+        if len(hashes):
+            del parts
+            order = np.argsort(hashes)
+            hashes = hashes[order]
+            new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+            self.words = hashes[new]
+            symbols = np.empty(len(hashes), np.int32)
+            symbols[order] = np.cumsum(new, dtype=np.int32)
+            del hashes, order
+            s = np.zeros(self.ends[-1], np.int32)
             is_word = np.ones(len(s), bool)
             is_word[self.ends - 1] = False
-            s[is_word] = dense + 1
-            self.fm = FMIndex(s, len(words) + 1)
+            s[is_word] = symbols
+            del symbols
+            self.fm = FMIndex(s, len(self.words) + 1)
 
     def occurrences(self, asked: Phrases) -> list[Found]:
         """For each text the (first word, end word, items) of every occurrence of a phrase."""
@@ -263,12 +279,27 @@ def passes(benchmark: DataFrame, n: int, least: int, item_col: str = "item_id",
     return count, each()
 
 
+def halved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SHARD_BYTES, or of one longer row."""
+    if batch.nbytes <= SHARD_BYTES or batch.num_rows < 2:
+        yield batch
+    else:
+        yield from halved(batch.slice(0, batch.num_rows // 2))
+        yield from halved(batch.slice(batch.num_rows // 2))
+
+
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """All rows, in tables of at most SHARD_BYTES or of one longer row. A batch, which Spark bounds by 10,000 rows at first,
+    may be far larger."""
     held, size = [], 0
     for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= SHARD_BYTES:
+        for part in halved(b):
+            if held and size + part.nbytes > SHARD_BYTES:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += part.nbytes
+        if size and b.nbytes > SHARD_BYTES:  # its last part would keep all of it in memory
             yield pa.Table.from_batches(held)
             held, size = [], 0
     if held:

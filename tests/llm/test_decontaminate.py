@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pickle
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +116,33 @@ def test_shards_of_several_batches_and_small_ones(spark, monkeypatch, words):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_a_shard_is_bounded_whatever_the_batches_are(monkeypatch):
+    monkeypatch.setattr(D, "SHARD_BYTES", 2000)
+    rng = random.Random(3)
+    texts = ["x" * rng.choice([0, 5, 90, 700]) for _ in range(900)]
+    texts[400:402] = [None, "y" * 50_000]  # longer than a shard
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array(texts)], ["d", "t"])
+    for batches in ([batch], [batch.slice(0, 3), batch.slice(3, 0), batch.slice(3, 20), batch.slice(23)], [batch.slice(i, 1) for i in range(900)]):
+        found = list(D.shards(iter(batches)))
+        assert pa.concat_tables(found).equals(pa.Table.from_batches([batch]))
+        assert all(x.nbytes <= 2000 or x.num_rows == 1 for x in found) and sum(x.nbytes > 2000 for x in found) == 1
+        assert len(found) < 300  # small rows still share a shard
+
+
+def test_what_an_index_takes_to_make():
+    rng = np.random.default_rng(5)
+    texts = pa.array([" ".join(f"w{i}" for i in rng.zipf(1.3, 400) % 20_000) for _ in range(1000)])
+    D.ShardIndex(texts.slice(0, 2))
+    tracemalloc.start()
+    try:
+        index = D.ShardIndex(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # besides what splitting one part of the texts into words takes, whatever the shard's size
+    assert index.fm.n == 401_000 and peak < 30e6 + 50 * index.fm.n, peak / index.fm.n
+
+
 def test_stored_indexes_answer_another_benchmark_without_the_texts(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"a{i} b{i} c d e f{i % 3} g") for i in range(30)] + [(None, "c d e"), (40, None)], "doc_id long, text string")
     D.shard_indexes(docs.repartition(2)).write.parquet(str(tmp_path / "indexes"))
